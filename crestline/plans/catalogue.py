@@ -14,6 +14,7 @@ from crestline import config
 from crestline.functions import cleaning
 from crestline.operators import evaluation, models, network, sentiment, temporal, units
 from crestline.plans import bindings as b
+from crestline.plans import studies
 from crestline.sources.posts import read_events
 
 R = b.RULES
@@ -331,6 +332,7 @@ _SMALL = {"rounds": 40}
 _MODEL_ARMS = tuple(a for a in config.ARMS if a.name in ("chance", "volume_only", "structure_size_free", "volume_plus_structure", "structure_residualised", "temporal_only", "full_fusion_regularised"))
 _register("gbt_oof", lambda s, d: rounded(models.oof_scores(b.full_matrix(s, d), _MODEL_ARMS, **_SMALL)))
 _register("permutation_importance", lambda s, d: rounded(models.permutation_importance(b.features(s, d), list(config.FEATURE_SETS["volume_baseline"]) + ["peakedness", "density"], 10, **_SMALL)))
+_register("language_control", lambda s, d: rounded(studies.language_control(s, d, rounds=20)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
