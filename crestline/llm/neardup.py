@@ -5,12 +5,12 @@ signature: the first scatters the set over a circle of 2**32 places, the second,
 them for coordinate k; the coordinate is the smallest. ``BANDS`` bands of ``ROWS`` coordinates put equal
 sets into equal buckets and sets with similarity 0.8 into one bucket at least but for 3 pairs in a million.
 
-Documents with equal sets are one node. A bucket is worked off by centres: each round takes a few of its
-nodes, tests all nodes that are not yet connected to a centre against it on the full sets, and takes the
-centres out; a bucket is done when the nodes left are connected. So a large group of near copies needs one
-test a node and not one a pair, every pair of unconnected nodes that share a bucket is tested, and nothing
-is capped. The number of centres doubles from round to round. Connected components come from links by
-passing the smallest label and following labels, in written tables.
+Documents with equal sets are one node. A bucket is worked off by centres: in each of ``CENTRES`` rounds the
+node that meets most others is tested on the full sets against all nodes of its bucket that are not yet
+connected to it, and is taken out. So a large group of near copies needs one test a node and not one a
+pair. A bucket is done when the nodes left are connected. What is left of the others goes through an exact
+join on rare hashes, which loses no pair either, and nothing is capped. Connected components come from
+links by passing the smallest label and following labels, in written tables.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
 words than a shingle has make one shingle; a null doc_id takes no part, has no component and is kept; rows
@@ -33,6 +33,8 @@ from . import storage
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+#: Rounds with one centre for each bucket.
+CENTRES = 3
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
@@ -144,45 +146,61 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as ``percent``."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("found").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("found").alias("of_b"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    checked = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"))
+    return checked.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+
+def rare_hash_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, label) with different labels, among them all that can be similar enough.
+
+    Hashes are ordered by how many of these nodes have them, rare ones first. Two similar sets share a hash
+    among the first few of each, and what follows the first shared one must be long enough for the overlap
+    that the sizes ask for. In a group of near copies the first few are a copy's own changes, so copies that
+    differ meet nowhere.
+    """
+    hashes = nodes.join(sets, "node").select("node", "n", "label", F.explode("found").alias("h"))
+    common = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    listed = hashes.join(common, "h").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
+    placed = listed.select("node", "n", "label", (F.col("n") - F.size("own")).alias("before"), F.posexplode("own").alias("k", "e"))
+    placed = placed.select("node", "n", "label", (F.col("before") + F.col("k")).alias("i"), F.col("e.h").alias("h")).filter(F.expr(f"i <= n - ceil({percent} * n / 100)"))
+    x, y = placed, placed.select(F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"), F.col("i").alias("i_y"), "h")
+    near = x.join(y, "h").filter(f"node < node_y AND label <> label_y AND 100 * least(n, n_y) >= {percent} * greatest(n, n_y) AND {100 + percent} * least(n - i, n_y - i_y) >= {percent} * (n + n_y)")
+    return near.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def link_classes(members: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame | None:
-    """node, label of the nodes in ``members`` (key, node, n), linked ones with one label."""
-    spark = members.sparkSession
+    """node, label of the nodes in ``members`` (key, node, n, weight), linked ones with one label."""
     labels: DataFrame | None = None
+    links: DataFrame | None = None
+    live = members
     tested: DataFrame | None = None
-    live, links = members, None
-    centres_a_bucket, turn = 1, 0
-    while True:
+    for turn in range(CENTRES + 1):
         here = f"{folder}/round-{turn}"
         named = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = storage.written(named.select("key", "node", "n", "label"), f"{here}/named")
+        named = storage.written(named.select("key", "node", "n", "weight", "label"), f"{here}/named")
         spread = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         open_members = storage.written(named.join(spread, "key"), f"{here}/open")
         if not open_members.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(centres_a_bucket))
-        centres = open_members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "label")).alias("c")).select("key", "c")
-        pairs = (
-            open_members.join(centres, "key")
-            .filter("label <> c.label")
-            .filter(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-            .distinct()
-        )
+            return labels
+        if turn < CENTRES:
+            centres = open_members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "label")).alias("c"))
+            pairs = open_members.join(centres, "key").filter(f"label <> c.label AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        else:
+            pairs = rare_hash_pairs(open_members.select("node", "n", "label").distinct(), sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = storage.written(pairs, f"{here}/pairs")
-        tested = pairs if tested is None else storage.written(tested.unionByName(pairs), f"{here}/tested")
-        a, b = sets.select(F.col("node").alias("a"), F.col("found").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("found").alias("of_b"))
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        checked = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"))
-        found = checked.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        links = storage.written(links, f"{here}/links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = verified(pairs, sets, percent)
+        links = storage.written(found if links is None else links.unionByName(found), f"{here}/links")
         if links.limit(1).count():
             labels = components(links, f"{here}/components").withColumnRenamed("v", "node")
-        taken = centres.select("key", F.col("c.node").alias("node"))
-        live = open_members.select("key", "node", "n").join(taken, ["key", "node"], "left_anti")
-        centres_a_bucket, turn = 2 * centres_a_bucket, turn + 1
+        if turn < CENTRES:
+            live = open_members.select("key", "node", "n", "weight").join(centres.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti")
     return labels
 
 
@@ -195,8 +213,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = with_set.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = storage.written(classes, f"{folder}/classes")
     filed = classes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("key")
-    members = storage.written(filed.join(shared, "key").select("key", "node", "n"), f"{folder}/members")
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
+    members = storage.written(filed.join(shared, "key").select("key", "node", "n", "nodes"), f"{folder}/filed")
+    # how many nodes a node meets in all its buckets: the origin of a group of copies meets most
+    weights = members.groupBy("node").agg(F.sum("nodes").alias("weight"))
+    members = storage.written(members.join(weights, "node").select("key", "node", "n", "weight"), f"{folder}/members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
     sets = storage.written(full_sets(docs, wanted, words), f"{folder}/sets")
     labels = link_classes(members, sets, folder, percent)

@@ -66,6 +66,13 @@ def test_equals_all_pairs(spark):
         assert sorted(map(tuple, got), key=str) == brute(rows, k)
 
 
+def test_rare_hashes_alone_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CENTRES", 0)
+    rows = planted(11)
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), words=4).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+
+
 def test_keep_one_of_each(spark):
     rows = planted(9)
     df = spark.createDataFrame(rows, SCHEMA)
