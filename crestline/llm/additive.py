@@ -4,8 +4,8 @@ A vector is approximated by a sum of one codeword from each of ``BOOKS`` full-di
 start as residual codebooks (k-means of what the earlier ones leave) and are then fitted together by least
 squares to the codes that a beam search finds. Every row is encoded by the same beam search and stored
 with its codes, the squared norm of its approximation and the vector itself. A query's table of products
-with all codewords gives a score for each stored row by lookups; the best ``RERANK`` rows of each block of
-the index are then measured exactly, in double precision, and the nearest of all blocks are kept.
+with all codewords gives a score for each stored row by lookups; the best eighth of each block of the
+index, ``RERANK`` rows at least, is then measured exactly, in double precision, and the nearest of all blocks are kept.
 
 The codebooks are fitted on at most ``SAMPLE`` rows, those with the smallest hash of vec_id. Queries are
 written as files of ``QUERY_ROWS`` rows that every index task reads one after another, so what a task
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from . import storage
 
-BOOKS, WORDS, BEAM = 8, 64, 8
+BOOKS, WORDS, BEAM = 16, 64, 8
 SAMPLE = 8192
 ROUNDS = 3
-RERANK = 128
+#: Rows of a block that are measured exactly: one in RERANK_PART, at least RERANK.
+RERANK, RERANK_PART = 256, 8
 QUERY_ROWS = 1024
 BLOCK_ROWS = 16384
 SEED = 7
@@ -162,10 +163,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, rerank: int =
             q_ids, q = q_batch.column(0).to_numpy(), _matrix(q_batch.column(1)).astype(np.float64)
             tables = np.einsum("qd,mkd->qmk", q, books)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            depth = max(rerank, len(ids) // RERANK_PART)
             for i in range(len(q)):
                 score = norm - 2 * sum(tables[i, j][codes[:, j]] for j in range(len(books)))
                 score[ids == q_ids[i]] = np.inf
-                near = np.argpartition(score, rerank - 1)[:rerank] if rerank < len(ids) else np.arange(len(ids))
+                near = np.argpartition(score, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
                 near = near[ids[near] != q_ids[i]]
                 exact = np.sqrt(((x[near] - q[i]) ** 2).sum(-1))
                 best = np.lexsort((ids[near], exact))[:top]
