@@ -205,7 +205,10 @@ READ_BYTES = 8 << 20
 
 
 def read_sequences(manifest: DataFrame) -> DataFrame:
-    """One row per record from the files: part, doc_id, n_tokens, ids_crc32, and its part's ids before it."""
+    """One row per record from the files: part, doc_id, n_tokens, ids_crc32, and all ids before it.
+
+    The manifest has a row for each file; the ids of earlier files are summed there, before any record is read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +217,7 @@ def read_sequences(manifest: DataFrame) -> DataFrame:
                 index_fs, index_path = storage.open_fs(row["index_file"])
                 with index_fs.open_input_stream(index_path) as f:
                     entries = np.frombuffer(f.read(), INDEX)
-                before = 0
+                before = row["earlier"]
                 with fs.open_input_stream(path) as f:
                     begin = 0
                     while begin < len(entries):
@@ -229,7 +232,8 @@ def read_sequences(manifest: DataFrame) -> DataFrame:
                         begin = end
 
     tasks = max(1, min(manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism * 4))
-    return manifest.repartition(tasks).mapInArrow(read, SEQUENCES)
+    earlier = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.withColumn("earlier", earlier).repartition(tasks).mapInArrow(read, SEQUENCES)
 
 
 def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
@@ -261,8 +265,4 @@ def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
 def token_records(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all documents, read the files back, and give doc_id, start, n_tokens and ids_crc32 of each."""
     manifest = write_sequences(docs, storage.work_dir(docs.sparkSession, "records"), tokenizer_path)
-    # a row for each file: few rows, whatever the number of documents
-    earlier = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = manifest.select("part", earlier.alias("earlier"))
-    read = read_sequences(manifest).join(offsets, "part")
-    return read.select("doc_id", (F.col("earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return read_sequences(manifest).select("doc_id", F.col("before").alias("start"), "n_tokens", "ids_crc32")
