@@ -45,7 +45,8 @@ _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"']?\]?[ \t]*$")
 _VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=$-]+))""")
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_SCREEN = r"(?i)(pass|pwd|secret|token|key|credential|bearer|auth|private)[^=:\n]*[=:]|AKIA[A-Z0-9]"
+#: A weighted word, which a name may hold in two parts, at the end of what stands left of an operator.
+_SCREEN = rf"""(?i)({"|".join("[._-]*".join(w) for w in NAME_WEIGHTS)})[A-Za-z0-9_.-]*["']?\]?[ \t]*\n?[=:]|AKIA[A-Z0-9]"""
 _SCREEN_HEX = "[0-9a-f]{16}"
 
 SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

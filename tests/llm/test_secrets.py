@@ -56,3 +56,14 @@ def test_redact(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.scan_documents(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+def test_screen_lets_every_finding_through(spark):
+    names = [w for word in secrets.NAME_WEIGHTS for w in (f"{word}_secret", f"{word}_access", f"{word}_api", word[:2] + "_" + word[2:] + "_signing")]
+    texts = [line for n in names for line in (f'{n} = "Zx81kQ0pTT4v"', f'cfg["{n}"]\t= "Zx81kQ0pTT4v"', f"{n.upper()}\n: 'Zx81kQ0pTT4vZx81kQ0pTT4vB7#m!Wq2Ls'")]
+    texts += ['api_access = "Zx81kQ0pTT4v"', "encryption: 'aB3$dE6&gH9(jK2)mN5+pQ8-sT1=vW4^y'", *TEXTS]
+    found = {r.doc_id: r.spans for r in secrets.scan_documents(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == [secrets.spell(secrets.scan_text(t or "")[1]) for t in texts]
+    assert found[texts.index('api_access = "Zx81kQ0pTT4v"')] == "literal:14:26" and found[len(names) * 3 + 1] == "literal:13:46"
+    (row,) = secrets.redact(docs_of(spark, ['api_access = "Zx81kQ0pTT4v"'])).collect()
+    assert row.text == 'api_access = "[secret]"'
