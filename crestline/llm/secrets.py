@@ -2,7 +2,8 @@
 
 The lexer reads a text as source or configuration: at each ``=``, ``:``, ``:=`` or ``=>`` it takes the
 name on the left and what stands on the right: a quoted literal, literals joined by ``+``, a bare word, or
-another name. A name that was given a literal earlier in the text is a constant, and a name assigned from
+another name. A type between ``:`` and ``=`` is stepped over, so what follows belongs to the name before it.
+A name that was given a literal earlier in the text is a constant, and a name assigned from
 it has its literal. A literal is scored by its target's name and by its own look; one that reaches
 ``THRESHOLD`` becomes a span of kind ``literal`` unless it touches a span of the patterns.
 
@@ -43,6 +44,8 @@ MIN_LITERAL, MAX_NAME = 8, 80
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"']?\]?[ \t]*$")
 _VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=$-]+))""")
+#: A type after a name's colon, and the = of the assignment after it.
+_TYPE = re.compile(r"""[ \t]*&?(?:'static[ \t]+)?[A-Za-z_][A-Za-z0-9_.]*(?:[\[<(][^=:\n"'{}]{0,80}[\]>)]|\[\])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*){0,8}[?!]?(?:[ \t]+=|=(?=[ \t]*["']))(?![=>])""")
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: A weighted word, which a name may hold in two parts, at the end of what stands left of an operator.
@@ -74,11 +77,16 @@ def value_score(value: str) -> float:
 def name_literal_pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """Names, their literals and the spans these come from, constants propagated."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    typed = -1
     for m in _OPERATOR.finditer(text):
         left = _NAME.search(text[max(0, m.start() - MAX_NAME) : m.start()])
         if not left:
             continue
         name, at = left[1], m.end()
+        of_type = m.start() == typed
+        if m[0] == ":" and (annotated := _TYPE.match(text, at)):
+            at = annotated.end()
+            typed = at - 1
         value, spans = "", []
         while got := _VALUE.match(text, at):
             group = got.lastindex
@@ -92,7 +100,8 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, in
                 break
             at = plus.end()
         if spans:
-            known[name] = (value, spans)
+            if not of_type:  # a type is no constant
+                known[name] = (value, spans)
             yield name, value, spans
 
 

@@ -67,3 +67,12 @@ def test_screen_lets_every_finding_through(spark):
     assert found[texts.index('api_access = "Zx81kQ0pTT4v"')] == "literal:14:26" and found[len(names) * 3 + 1] == "literal:13:46"
     (row,) = secrets.redact(docs_of(spark, ['api_access = "Zx81kQ0pTT4v"'])).collect()
     assert row.text == 'api_access = "[secret]"'
+
+
+def test_typed_assignments():
+    for line in ('api_secret: str = "Zx81kQ0pTT4v"', "const apiSecret: string = 'Zx81kQ0pTT4v';", 'let access_token: String="Zx81kQ0pTT4v";', 'api_secret: Optional[str] = "Zx81kQ0pTT4v"', 'api_secret: str | None = "Zx81kQ0pTT4v"', "let authTokens: string[] = 'Zx81kQ0pTT4v'", 'const API_SECRET: &\'static str = "Zx81kQ0pTT4v";', 'a: str = "Zx81kQ0pTT4v"\napi_secret: str = a'):
+        assert literals(line) == ["Zx81kQ0pTT4v"], line
+    assert literals('api_secret: str = "Zx81" + "kQ0pTT4v"') == ["Zx81", "kQ0pTT4v"]
+    assert literals('user: db_pwd="Zx81kQ0pTT4v"') == ["Zx81kQ0pTT4v"]
+    assert literals('name: str = "Zx81kQ0pTT4v"\napi_secret: str') == []
+    assert literals("db_pwd: x9K2mQ7pLw==") == ["x9K2mQ7pLw=="]
