@@ -3,9 +3,10 @@
 The standard library's parser streams a page's events; every block-level tag ends a line, so a line is a
 block's text with the tags that stand in it. Its ratio is text characters to tags. Ratios are smoothed by
 a Gaussian, and lines over a threshold (the spread of the ratios) form the content cluster. The element
-that holds most of the cluster is the content region, an article or main element before any other, and
-all blocks of the region are kept, short ones too, but for parts that their tag, role or class names as
-menu, header, footer, sidebar, notice, advert, form or comments, and runs of blocks that are links only.
+that holds most of the cluster is the content region, an article or main element before any other; without
+these it is never a single block, list or table, but what contains it and the blocks beside it. All blocks
+of the region are kept, short ones too, but for parts that their tag, role or class names as menu, header,
+footer, sidebar, notice, advert, form or comments, and runs of blocks that are links only.
 
 Cases: a null or empty html, or one without text, gives an empty text; a null page_id or url is carried;
 unclosed and crossed tags close with what is around them; repeated rows give a row each; an empty table
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("aside button dialog footer form head iframe menu nav noscript object option script select style svg template textarea title canvas audio video".split())
+#: Elements that are part of a text and do not contain a whole one.
+PARTS = frozenset("address blockquote dd dir dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody tfoot thead tr ul".split())
 HOMES = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe signup login comment comments disqus replies widget toolbar pagination pager copyright hidden".split())
@@ -133,6 +136,19 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return same(ratios) / same(np.ones(len(ratios)))
 
 
+def container(page: Lines, region: int) -> int:
+    """The nearest element at or above ``region`` that contains a text and not only a part of it."""
+    count = np.bincount([e for _, _, _, e in page.blocks], minlength=len(page.name))
+    beside = count > 0  # elements with text of their own, or of a part that is their child
+    for e in range(len(count) - 1, 0, -1):
+        up = page.parent[e]
+        beside[up] |= beside[e] and page.name[e] in PARTS
+        count[up] += count[e]
+    while region and (page.name[region] in PARTS or count[region] == 1 or beside[page.parent[region]] and page.name[page.parent[region]] not in ("", "body", "html")):
+        region = page.parent[region]
+    return region
+
+
 def extract(html: str) -> str:
     """The main text of a page: blocks in page order, joined by line feeds."""
     page = Lines()
@@ -155,7 +171,7 @@ def extract(html: str) -> str:
             held[e] += w
         for e in range(len(held) - 1, 0, -1):
             held[page.parent[e]] += held[e]
-        region = int(max(np.flatnonzero(held >= 0.8 * held[0])))
+        region = container(page, int(max(np.flatnonzero(held >= 0.8 * held[0]))))
         within = [False] * len(page.name)
         for e in range(len(within)):
             within[e] = e == region or e > 0 and within[page.parent[e]]

@@ -25,3 +25,12 @@ def test_table(spark):
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()}
     assert got == {(1, "u"): (long.strip(), len(long) - 1), (2, None): ("", 0), (None, "v"): ("x", 1)}
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>%s</div>", '<div><div class="x">%s</div></div>', "<table><tr><td>%s</td></tr></table>"])
+@pytest.mark.parametrize("long", ["<p>%s</p>", "<div class=lead><p>%s</p></div>", "<div class=lead><p>%s</p><p>Its caption.</p></div>", "<ul><li>%s<li>an item</ul>", "<div>%s</div>", "<blockquote><p>%s</p></blockquote>"])
+def test_one_long_paragraph_among_short_ones(page, long):
+    article = "<h1>The heading</h1><p>Short one.</p>" + long % ("words of the long one " * 200) + "<p>Short two.</p><p>A third paragraph that is a bit longer.</p>"
+    got = htmltext.extract(AROUND % (page % article)).split("\n")
+    assert got[:2] == ["The heading", "Short one."] and got[-2:] == ["Short two.", "A third paragraph that is a bit longer."]
+    assert "words of the long one " * 199 in "\n".join(got)
