@@ -6,7 +6,7 @@ a Gaussian, and lines over a threshold (the spread of the ratios) form the conte
 that holds most of the cluster is the content region, an article or main element before any other; without
 these it is never a single block, list or table, but what contains it and the blocks beside it. All blocks
 of the region are kept, short ones too, but for parts that their tag, role or class names as menu, header,
-footer, sidebar, notice, advert, form or comments, and runs of blocks that are links only.
+footer, sidebar, notice, advert, form or comments, and, without an article or main element, runs of blocks that are links only.
 
 Cases: a null or empty html, or one without text, gives an empty text; a null page_id or url is carried;
 unclosed and crossed tags close with what is around them; repeated rows give a row each; an empty table
@@ -176,7 +176,7 @@ def extract(html: str) -> str:
         for e in range(len(within)):
             within[e] = e == region or e > 0 and within[page.parent[e]]
         inside = np.array([within[e] for _, _, _, e in page.blocks])
-    linked = [n >= LINK_SHARE * len(t.replace(" ", "")) for t, _, n, _ in page.blocks]
+    linked = [not homes.any() and n >= LINK_SHARE * len(t.replace(" ", "")) for t, _, n, _ in page.blocks]
     out: list[str] = []
     run: list[str] = []
     for (text, _, _, _), keep, link in zip(page.blocks, inside, linked, strict=True):

@@ -34,3 +34,10 @@ def test_one_long_paragraph_among_short_ones(page, long):
     got = htmltext.extract(AROUND % (page % article)).split("\n")
     assert got[:2] == ["The heading", "Short one."] and got[-2:] == ["Short two.", "A third paragraph that is a bit longer."]
     assert "words of the long one " * 199 in "\n".join(got)
+
+
+def test_an_article_keeps_its_list_of_links():
+    sources = "<ul>" + "".join(f'<li><a href="/{i}">Source number {i}</a>' for i in range(4)) + "</ul>"
+    for wrap in ("<article>%s</article>", "<main>%s</main>"):
+        assert htmltext.extract(AROUND % (wrap % (ARTICLE + sources))) == WANT + "".join(f"\nSource number {i}" for i in range(4))
+    assert htmltext.extract(AROUND % (f"<div>{ARTICLE}{sources}</div>")) == WANT
