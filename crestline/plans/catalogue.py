@@ -324,15 +324,23 @@ l AS (SELECT fo.fold, l.topic, l.feature, l.value, f.window_tweets AS x FROM lon
 k AS (SELECT t.fold, t.feature, regr_slope(r.value, r.x) AS s, regr_intercept(r.value, r.x) AS i, avg(r.value) AS m FROM (SELECT DISTINCT fold, feature FROM l) t JOIN l r ON r.feature = t.feature AND r.fold <> t.fold GROUP BY ALL)
 SELECT l.topic, l.fold, l.feature, round(l.value - coalesce(k.i, k.m) - coalesce(k.s, 0) * l.x, 5) AS residual FROM l JOIN k USING (fold, feature)""")
 _register("share_histogram", lambda s, d: evaluation.share_histogram(b.table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.round(F.col("l_quantity") / 50, 6).alias("v")), "v"), "SELECT CAST(l_returnflag = 'R' AS INT) AS label, CAST(least(floor(round(l_quantity / 50, 6) * 25), 24) AS INT) AS bin, count(*) AS n FROM lineitem WHERE round(l_quantity / 50, 6) BETWEEN 0 AND 1 GROUP BY ALL")
-_register("bootstrap_ci", lambda s, d: rounded(evaluation.bootstrap_ci(b.table(s, d, "labels").select(F.lit("doc").alias("arm"), F.col("doc_id").alias("key"), F.col("quality").alias("label"), (F.col("doc_id") % 101 / 100.0).alias("p")), 200)))
+_register("bootstrap_ci", lambda s, d: rounded(evaluation.bootstrap_ci(b.table(s, d, "labels").select(F.lit("doc").alias("arm"), F.col("doc_id").alias("key"), F.col("quality").alias("label"), (F.col("doc_id") % 101 / 100.0).alias("p")))))
 
 # --- models: rows only
 
-_SMALL = {"rounds": 40}
-_MODEL_ARMS = tuple(a for a in config.ARMS if a.name in ("chance", "volume_only", "structure_size_free", "volume_plus_structure", "structure_residualised", "temporal_only", "full_fusion_regularised"))
-_register("gbt_oof", lambda s, d: rounded(models.oof_scores(b.full_matrix(s, d), _MODEL_ARMS, **_SMALL)))
-_register("permutation_importance", lambda s, d: rounded(models.permutation_importance(b.features(s, d), list(config.FEATURE_SETS["volume_baseline"]) + ["peakedness", "density"], 10, **_SMALL)))
-_register("language_control", lambda s, d: rounded(studies.language_control(s, d, rounds=20)))
+#: All arms but the two that add nothing but sentiment, whose columns these tables lack.
+_MODEL_ARMS = tuple(a for a in config.ARMS if a.name not in ("sentiment_only", "volume_plus_sentiment"))
+_register("gbt_oof", lambda s, d: rounded(models.oof_scores(b.full_matrix(s, d), _MODEL_ARMS)))
+
+
+def _importance(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = b.full_matrix(spark, sf)
+    fusion = next(a for a in config.ARMS if a.name == "full_fusion")
+    return models.permutation_importance(matrix, [c for c in config.arm_columns(fusion) if c in matrix.columns])
+
+
+_register("permutation_importance", lambda s, d: rounded(_importance(s, d)))
+_register("language_control", lambda s, d: rounded(studies.language_control(s, d)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,3 +39,32 @@ def test_same_rows(spark, duck, name):
 
 def test_every_sql_has_its_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_model_queries_run_at_the_operators_defaults(monkeypatch):
+    from types import SimpleNamespace
+
+    from crestline import config
+
+    seen = {}
+
+    def noted(name):
+        def f(*args, **settings):
+            seen[name] = (args[1:], settings)
+
+        return f
+
+    monkeypatch.setattr(catalogue, "rounded", lambda df: df)
+    monkeypatch.setattr(catalogue.b, "full_matrix", lambda s, d: SimpleNamespace(columns=[c for k, own in config.FEATURE_SETS.items() if k != "sentiment" for c in own]))
+    for module, name in ((catalogue.models, "oof_scores"), (catalogue.models, "permutation_importance"), (catalogue.studies, "language_control")):
+        monkeypatch.setattr(module, name, noted(name))
+    for query in ("gbt_oof", "permutation_importance", "language_control"):
+        catalogue.queries()[query](None, DATA)
+    assert [a.name for a in seen["oof_scores"][0][0]] == [a.name for a in config.ARMS if a.name not in ("sentiment_only", "volume_plus_sentiment")]
+    (columns,) = seen["permutation_importance"][0]
+    assert columns == [c for k in ("volume_baseline", "structure_size_free", "temporal") for c in config.FEATURE_SETS[k]]
+    assert all(settings == {} for _, settings in seen.values()) and seen["language_control"][0] == (DATA,)
+
+
+def test_bootstrap_ci_uses_all_resamples(spark):
+    assert catalogue.queries()["bootstrap_ci"](spark, DATA).first()["n_used"] == 1000
