@@ -2,9 +2,12 @@
 
 The forest is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hash of doc_id. Its
 trees split a random statistic at a random place; an unusual document is alone after few splits, and its
-mean path length gives a score between 0 and 1. The threshold comes from every labelled document: scores
-are counted in ``BINS`` bins for good and bad documents, and the cut is the lowest one that keeps at least
-``KEEP_GOOD`` of the good. Without labels of both kinds nothing is rejected but by the fixed rules.
+mean path length gives a score between 0 and 1. A statistic is drawn the more often the further good and bad
+rows of the sample lie apart in it (the square of the largest distance of their distribution functions), so
+that what is rare but harmless isolates few; ``FLOOR`` leaves every statistic a chance. Trees are
+of few rows, or junk of one kind would hide itself by its number. The threshold comes
+from every labelled document: scores are counted in ``BINS`` bins for good and bad documents, and the cut is
+the lowest one that keeps at least ``KEEP_GOOD`` of the good. Without labels of both kinds nothing is rejected but by the fixed rules.
 
 The driver gets the sample and the two histograms, whose sizes do not grow with the input.
 
@@ -31,9 +34,10 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
 SAMPLE = 4096
-TREES, TREE_ROWS, DEPTH = 100, 256, 10
+TREES, TREE_ROWS, DEPTH = 200, 32, 10
 BINS = 2000
 KEEP_GOOD = 0.999
+FLOOR = 0.01
 SEED = 20
 
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -99,23 +103,30 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, STATS)
 
 
-#: What is usual: mean word length from and to, then the most symbols a word, capitals and digits a
-#: character, marks a word, and words in repeated windows a word.
-USUAL_LENGTH = (3.0, 10.0)
-USUAL_SHARES = (0.1, 0.3, 0.3, 0.3, 0.3)
-
-
 def features(columns: dict[str, np.ndarray]) -> np.ndarray:
-    """How far each rule's statistic lies outside what is usual, as a share of the text's size.
+    """The statistics as shares of the text's size: nothing is clipped.
 
-    Inside, all texts are alike, so the ordinary spread of good texts isolates none of them.
+    Words (logarithm), characters a word, symbols a word, repeated lines a line, words in repeated windows
+    a word, capitals and digits a character, marks a word, and distinct words against all (logarithms).
     """
     c = {k: v.astype(float) for k, v in columns.items()}
-    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    length = c["word_chars"] / words
-    shares = (c["n_symbols"] / words, c["n_upper"] / chars, c["n_digits"] / chars, c["n_marks"] / words, c["n_repeat_words"] / words)
-    over = [np.maximum(0, x - most) for x, most in zip(shares, USUAL_SHARES, strict=True)]
-    return np.stack([np.maximum(0, USUAL_LENGTH[0] - length) + np.maximum(0, length - USUAL_LENGTH[1]), *over], axis=1)
+    words, chars, lines = (np.maximum(c[k], 1) for k in ("n_words", "word_chars", "n_lines"))
+    return np.stack(
+        [np.log(words), c["word_chars"] / words, c["n_symbols"] / words, c["n_dup_lines"] / lines, c["n_repeat_words"] / words]
+        + [c["n_upper"] / chars, c["n_digits"] / chars, c["n_marks"] / words, np.log(c["n_types"] + 1) / np.log(words + 1)],
+        axis=1,
+    )
+
+
+def separation(rows: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Of each statistic, the largest distance between the distribution functions of good and bad rows."""
+    out = np.zeros(rows.shape[1])
+    if good.any() and not good.all():
+        for j, x in enumerate(rows.T):
+            at = np.unique(x)
+            share = lambda own: np.searchsorted(np.sort(own), at, "right") / len(own)
+            out[j] = np.abs(share(x[good]) - share(x[~good])).max()
+    return out
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -125,15 +136,18 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees of random splits; ``scores`` are near 1 for rows that are isolated early."""
+    """Trees of random splits; ``scores`` are near 1 for rows that are isolated early.
+
+    Among the statistics that differ in a node, one is drawn in proportion to ``weights``.
+    """
 
-    def __init__(self, rows: np.ndarray, seed: int = SEED, trees: int = TREES, tree_rows: int = TREE_ROWS, depth: int = DEPTH):
+    def __init__(self, rows: np.ndarray, weights: np.ndarray, seed: int = SEED, trees: int = TREES, tree_rows: int = TREE_ROWS, depth: int = DEPTH):
         rng = np.random.default_rng(seed)
+        self.weights = weights
         self.norm = float(mean_path(min(tree_rows, len(rows))))
         self.trees = [self._grow(rows[rng.choice(len(rows), min(tree_rows, len(rows)), replace=False)], depth, rng) for _ in range(trees)]
 
-    @staticmethod
-    def _grow(rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    def _grow(self, rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         size = 2 ** (depth + 1) - 1
         feature, cut, path = np.full(size, -1), np.zeros(size), np.zeros(size)
         stack = [(0, rows, 0)]
@@ -144,7 +158,8 @@ class IsolationForest:
             if level == depth or len(own) < 2 or not len(open_to):
                 path[at] = level + mean_path(len(own))
                 continue
-            f = int(rng.choice(open_to))
+            chance = self.weights[open_to]
+            f = int(rng.choice(open_to, p=chance / chance.sum()))
             feature[at], cut[at] = f, rng.uniform(low[f], high[f])
             left = own[:, f] < cut[at]
             stack += [(2 * at + 1, own[left], level + 1), (2 * at + 2, own[~left], level + 1)]
@@ -201,10 +216,11 @@ def fit(stats: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> Ve
     labelled = passing.join(once, "doc_id")
     names = [*RULES, *MORE]
     # a top-k of fixed size
-    sample = labelled.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *names).limit(SAMPLE).select(*names).collect()
+    sample = labelled.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *names).limit(SAMPLE).select(*names, "quality").collect()
     if len(sample) < 2:
         return Verdict(None, 2.0)
-    forest = IsolationForest(features({n: np.array([r[n] for r in sample], np.int64) for n in names}))
+    rows = features({n: np.array([r[n] for r in sample], np.int64) for n in names})
+    forest = IsolationForest(rows, separation(rows, np.array([r["quality"] > 0 for r in sample])) ** 2 + FLOOR)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

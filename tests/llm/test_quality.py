@@ -1,5 +1,6 @@
 """Quality statistics against plain counting, and the forest on planted junk."""
 
+import math
 import random
 import re
 
@@ -64,5 +65,63 @@ def test_without_labels_only_the_rules_hold(spark):
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(9, 1, (5, 3))])
-    scores = quality.IsolationForest(rows).scores(rows)
+    scores = quality.IsolationForest(rows, np.ones(3)).scores(rows)
     assert set(np.argsort(-scores)[:5]) == set(range(500, 505))
+
+
+def plain_forest(rows, weights, trees, tree_rows, depth):
+    """Nested tuples of (statistic, cut, left, right) or a path length, drawn as the operator draws."""
+    rng = np.random.default_rng(quality.SEED)
+
+    def expected(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def grow(own, level):
+        spread = [j for j in range(len(weights)) if own and min(x[j] for x in own) < max(x[j] for x in own)]
+        if level == depth or len(own) < 2 or not spread:
+            return level + expected(len(own))
+        chance = np.array([weights[j] for j in spread])
+        j = int(rng.choice(spread, p=chance / chance.sum()))
+        cut = rng.uniform(min(x[j] for x in own), max(x[j] for x in own))
+        right = grow([x for x in own if not x[j] < cut], level + 1)  # right branches first
+        return j, cut, grow([x for x in own if x[j] < cut], level + 1), right
+
+    n = min(tree_rows, len(rows))
+    forest = [grow([tuple(rows[i]) for i in rng.choice(len(rows), n, replace=False)], 0) for _ in range(trees)]
+
+    def path(tree, x):
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] < tree[1] else tree[3]
+        return tree
+
+    return lambda x: 2 ** -(sum(path(t, x) for t in forest) / trees / expected(n))
+
+
+def test_verdicts_equal_those_of_a_plain_forest(spark):
+    rows = [(i, t, q) for i, t, q in corpus(240)]
+    r = random.Random(9)
+    rows += [(500 + i, " ".join("".join(r.choices("etaoin", k=r.randint(2, 8))) + r.choice(["", "", "#"]) for _ in range(90)), 1) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "q", "k") for i, t, _ in rows], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    stats = {i: quality.statistics(t) for i, t, _ in rows}
+    x = {i: tuple(quality.features({n: np.array([v]) for n, v in zip(quality.RULES + quality.MORE, s, strict=True)})[0]) for i, s in stats.items()}
+    passing = [(i, q) for i, _, q in rows if not quality.base_failed(stats[i][0], stats[i][4])]
+    from pyspark.sql import functions as F
+
+    order = [row.doc_id for row in docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(quality.SEED))).collect()]
+    quality_of = dict(passing)
+    sample = [i for i in order if i in quality_of]
+    good = [quality_of[i] > 0 for i in sample]
+    weights = quality.separation(np.array([x[i] for i in sample]), np.array(good)) ** 2 + quality.FLOOR
+    score = plain_forest([x[i] for i in sample], weights, quality.TREES, quality.TREE_ROWS, quality.DEPTH)
+    at = sorted(int(score(x[i]) * quality.BINS) for i, q in passing if q)
+    threshold = (at[math.ceil(quality.KEEP_GOOD * len(at)) - 1] + 1) / quality.BINS
+    for row in quality.judge(docs, labels).collect():
+        assert abs(row.anomaly - score(x[row.doc_id])) < 1e-12
+        assert row.kept == (row.doc_id in quality_of and score(x[row.doc_id]) < threshold)
+
+
+def test_separation():
+    rows = np.array([[0.0, 5.0], [1.0, 5.0], [2.0, 5.0], [3.0, 5.0]])
+    assert quality.separation(rows, np.array([True, True, False, False])).tolist() == [1.0, 0.0]
+    assert quality.separation(rows, np.ones(4, bool)).tolist() == [0.0, 0.0]
