@@ -39,7 +39,7 @@ NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "
 #: Values that stand in for a secret.
 PLACEHOLDERS = re.compile(r"example|changeme|change_me|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|todo|none|null|true|false|undefined|\$\{|\{\{|<", re.IGNORECASE)
 THRESHOLD = 1.5
-MIN_LITERAL, MAX_NAME = 8, 80
+MIN_LITERAL = 8
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[\"']?\]?[ \t]*$")
@@ -74,15 +74,26 @@ def value_score(value: str) -> float:
     return min(1.2, 0.15 * entropy + 0.1 * classes + 0.01 * min(n, 40))
 
 
+def name_before(text: str, end: int) -> str | None:
+    """The whole name that stands before ``end``; the window grows while a name may begin before it."""
+    width = 64
+    while True:
+        begin = max(0, end - width)
+        found = _NAME.search(text[begin:end])
+        if begin and (found.start() == 0 if found else not text[begin:end].strip(" \t\n\"']")):
+            width *= 4
+            continue
+        return found and found[1]
+
+
 def name_literal_pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """Names, their literals and the spans these come from, constants propagated."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     typed = -1
     for m in _OPERATOR.finditer(text):
-        left = _NAME.search(text[max(0, m.start() - MAX_NAME) : m.start()])
-        if not left:
+        name, at = name_before(text, m.start()), m.end()
+        if not name:
             continue
-        name, at = left[1], m.end()
         of_type = m.start() == typed
         if m[0] == ":" and (annotated := _TYPE.match(text, at)):
             at = annotated.end()

@@ -1,6 +1,7 @@
 """Secret scans against the patterns applied to every whole text, and the lexer on small sources."""
 
 import hashlib
+import random
 import re
 
 from crestline.llm import secrets
@@ -46,6 +47,26 @@ def test_lexer_leaves_ordinary_text_alone():
         assert literals(text) == [], text
 
 
+def test_the_screen_loses_nothing(spark):
+    r = random.Random(3)
+    parts = ["signing", "encryption", "access", "api", "key", "Key", "pass", "word", "auth", "x", "_", "-", ".", "Token", "pwd", "str", "bearer"]
+    texts = []
+    for _ in range(600):
+        name = "".join(r.choices(parts, k=r.randint(1, 4)))
+        value = "".join(r.choices("abcXYZ0189_+/", k=r.randint(6, 24)))
+        quote = r.choice(["\"", "'", ""])
+        texts.append(f"{r.choice(['', 'let ', '  ', 'c[\"'])}{name}{r.choice(['', '\"]', ' ', chr(10)])}{r.choice(['=', ':', ':=', '=>', ' = ', ': str = '])}{quote}{value}{quote} {r.choice(['', 'y = ' + name])}")
+    for row in secrets.scan_documents(docs_of(spark, texts)).collect():
+        assert row.spans == secrets.spell(secrets.scan_text(texts[row.doc_id])[1]), texts[row.doc_id]
+
+
+def test_names_of_any_length_are_constants():
+    name = "n" * 400
+    assert literals(f'{name} = "Zx81kQ0pTT4v"\napi_secret = {name}') == ["Zx81kQ0pTT4v"]
+    assert secrets.name_before("x " + name + '"]' + " " * 300, 2 + 400 + 302) == name
+    assert secrets.name_before(" " * 500, 500) is None
+
+
 def test_redact(spark):
     got = {r.doc_id: r for r in secrets.redact(docs_of(spark, TEXTS)).collect()}
     assert got[3].text == "[secret] and [secret]" or got[3].text.startswith("[secret]") and HEX40 not in got[3].text
