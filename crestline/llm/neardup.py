@@ -239,8 +239,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept, with all their columns; a doc_id goes if none of its rows is kept."""
     verdict = near_duplicates(docs, words, percent).filter("doc_id IS NOT NULL")
-    gone = verdict.groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    name = "gone"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = verdict.groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("NOT stays").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 #: DuckDB SQL for ``near_duplicates`` with four words.
