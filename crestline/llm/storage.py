@@ -1,7 +1,7 @@
 """Places that every executor shares, and files written there by tasks.
 
-The base folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a local
-session) a folder of this machine is made instead. Files are written through ``pyarrow.fs``, so the
+The base folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a local session gets a
+folder of this machine; any other session gets an error, as its executors could not see such a folder. Files are written through ``pyarrow.fs``, so the
 base may be any URI that it opens. A task writes under a name of its own and reports it; files that no
 manifest names belong to attempts that failed and are never read.
 """
@@ -23,6 +23,8 @@ def shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="crestline-"))
         spark.sparkContext.setCheckpointDir(_fallback[0])
