@@ -4,7 +4,8 @@ A byte-level BPE splits a text by a pattern before it merges, and a single space
 that are not white space is always such a split: a piece may begin with one space and never ends with
 one. The same holds for a single line feed, which is a piece of its own. So a text may be cut there, and
 equal stretches have equal ids wherever they stand. Texts repeat most of their words; the library then
-sees each distinct stretch once for each Python worker instead of once for each occurrence.
+sees each distinct stretch once for each Python worker instead of once for each occurrence. A text that holds
+the string of a special token goes to the library whole, which gives that string the special token's id.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class CachedEncoder:
         self.inner: dict[str, bytes | None] = {}  # a stretch after a space -> its ids, with the space
         self.head: dict[str, bytes | None] = {}  # a stretch at the start of a text or a line
         self.tail: dict[str, bytes] = {}  # a run of punctuation after a letter
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._direct(["\n"])[0]
         self.letters = byte_alphabet()
         self.id_bytes = [n.to_bytes(4, "little") for n in range(tokenizer.get_vocab_size() + 1)]
@@ -119,7 +121,11 @@ class CachedEncoder:
         is_open = np.fromiter((v is None for v in values), bool, len(values))
         empty = np.fromiter((not stretches[i] for i in firsts), bool, len(firsts))
         alone = np.diff(offsets) == 1  # an empty text is one empty stretch
-        by_hand = np.flatnonzero(np.logical_or.reduceat(is_open[index], offsets[:-1]) & ~(alone & empty[where]))
+        whole = np.logical_or.reduceat(is_open[index], offsets[:-1]) & ~(alone & empty[where])
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        by_hand = np.flatnonzero(whole | special)
         lengths = np.fromiter((0 if v is None else len(v) // 4 for v in values), np.int64, len(values))
         starts = np.cumsum(lengths) - lengths
         pool = np.frombuffer(b"".join([v for v in values if v is not None]), dtype="<u4")
@@ -131,7 +137,8 @@ class CachedEncoder:
             return ids, bounds
         parts = [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         for i in by_hand.tolist():
-            parts[i] = np.frombuffer(self._whole(texts[i].as_py()), dtype="<u4")
+            text = texts[i].as_py()
+            parts[i] = np.frombuffer(self._direct([text])[0] if special[i] else self._whole(text), dtype="<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def encode_list(self, texts: list[str]) -> list[np.ndarray]:
@@ -201,9 +208,7 @@ def json_encoder(path: str) -> CachedEncoder:
     if key not in _encoders:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[key] = CachedEncoder(tokenizer)
+        _encoders[key] = CachedEncoder(Tokenizer.from_file(path))
     return _encoders[key]
 
 

@@ -1,13 +1,12 @@
 """Packing documents into sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids are its text's ids and an end id. Each full sequence of a document stands alone; what is
-left over, shorter than a sequence, is cut into pieces of at most ``PIECE`` ids and packed with others of
-the same task: ``BUNDLE`` ids of them make a bundle. Differencing starts from one partial partition for
+left over, shorter than a sequence, is cut by halves into pieces down to ``PIECE`` ids and packed with others
+of the same task: ``BUNDLE`` ids of them make a bundle. Differencing starts from one partial partition for
 each piece and keeps merging the two with the largest spread, the fullest windows of the one onto the
-emptiest of the other, until one partition is left, whose windows are nearly equal. A bundle begins with
-the fewest windows that could hold it; the few ids by which some windows are over capacity are cut off
-and fill the others, and where that needs too many cuts the count rises and the differencing is done
-again. One window of a bundle may be shorter than the rest.
+emptiest of the other, until one partition is left, whose windows are nearly equal and are the result. A
+bundle begins with the fewest windows that could hold it; whenever one of them is over capacity, the count
+rises and the differencing is done again, so each window of a bundle has a few ids of padding.
 
 Every task packs the rows of its own partition, so nothing is shuffled, and a bundle bounds its memory.
 The rows of a partition come in one order whenever it is read again from files, so a task that is run
@@ -32,7 +31,7 @@ from . import bpe
 
 END_ID = 0
 CAPACITY = 1024
-PIECE = 256
+PIECE = 16
 BUNDLE = 384 * 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,51 +67,28 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return [own for own in heap[0][3] if own] if heap else []
 
 
-def pack(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, begin, length), none over ``capacity``.
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Numbers of the items in each window, none over ``capacity``; no item may be.
 
-    Differencing into the fewest windows leaves some a little over capacity and others as much under it.
-    What is over is cut off and fills the others, so only the last one filled stays short. Should that
-    need more than two cuts a window, the window count rises and the differencing is done again.
+    Differencing begins with the fewest windows that could hold the items. Whenever a window is over
+    capacity the count rises and the differencing is done again.
     """
-    if not sizes:
-        return []
     k = -(-sum(sizes) // capacity)
     while True:
-        windows = [[(i, 0, sizes[i]) for i in own] for own in difference(sizes, k)]
-        windows += [[] for _ in range(k - len(windows))]
-        spill: list[tuple[int, int, int]] = []
-        cuts = 0
-        for own in windows:
-            over = sum(n for _, _, n in own) - capacity
-            while over > 0:
-                i, begin, n = own.pop()
-                if n > over:
-                    own.append((i, begin, n - over))
-                    begin, n = begin + n - over, over
-                    cuts += 1
-                spill.append((i, begin, n))
-                over -= n
-        for own in sorted(windows, key=lambda own: -sum(n for _, _, n in own)):
-            room = capacity - sum(n for _, _, n in own)
-            while room > 0 and spill:
-                i, begin, n = spill.pop()
-                if n > room:
-                    spill.append((i, begin + room, n - room))
-                    n = room
-                    cuts += 1
-                own.append((i, begin, n))
-                room -= n
-        if cuts <= 2 * k and not spill:
-            return [own for own in windows if own]
+        windows = difference(sizes, k)
+        if all(sum(sizes[i] for i in own) <= capacity for own in windows):
+            return windows
         k += 1
 
 
-def _pieces(begin: int, end: int, step: int) -> list[tuple[int, int]]:
-    """Near-equal runs of at most ``step`` ids of what is left of a document."""
-    count = -(-(end - begin) // step)
-    cuts = [begin + (end - begin) * i // count for i in range(count + 1)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+def halves(begin: int, end: int, least: int) -> list[tuple[int, int]]:
+    """Runs that each take half of the ids still left, or ``least`` of them: sizes of every order to balance with."""
+    out = []
+    while begin < end:
+        to = min(end, begin + max(least, -(-(end - begin) // 2)))
+        out.append((begin, to))
+        begin = to
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece: int = PIECE, bundle: int = BUNDLE) -> DataFrame:
@@ -134,9 +110,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             rows = []
             for own in pack([len(x[2]) // 4 for x in waiting], capacity):
                 offset = 0
-                for i, x, n in own:
+                for i in own:
                     doc_id, start, data, doc_tokens = waiting[i]
-                    rows.append((doc_id, start + x, n, zlib.crc32(data[4 * x : 4 * (x + n)]), doc_tokens, next_id, offset))
+                    n = len(data) // 4
+                    rows.append((doc_id, start, n, zlib.crc32(data), doc_tokens, next_id, offset))
                     offset += n
                 next_id += 1
             waiting, held = [], 0
@@ -156,7 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                         rows.append((doc_id, x, capacity, zlib.crc32(raw[4 * (a + x) : 4 * (a + x + capacity)]), n, next_id, 0))
                         next_id += 1
                     if n > full:
-                        for x, y in _pieces(full, n, piece):
+                        for x, y in halves(full, n, piece):
                             waiting.append((doc_id, x, raw[4 * (a + x) : 4 * (a + y)], n))
                         held += n - full
                         if held >= bundle:

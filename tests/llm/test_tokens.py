@@ -20,7 +20,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -103,15 +102,26 @@ def test_packing(docs, plain):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_differencing_fills_windows(seed):
+def test_windows_are_those_of_the_differencing(seed):
     r = random.Random(seed)
-    sizes = [r.randint(1, 256) for _ in range(r.choice([1, 2, 17, 900]))]
+    sizes = [b - a for _ in range(r.choice([1, 2, 17, 900])) for a, b in packing.halves(0, r.randint(1, 1023), 16)]
     windows = packing.pack(sizes, 1024)
-    assert all(0 < sum(n for _, _, n in own) <= 1024 for own in windows)
-    assert sorted((i, x) for own in windows for i, b, n in own for x in range(b, b + n)) == [(i, x) for i, s in enumerate(sizes) for x in range(s)]
-    assert len(windows) == -(-sum(sizes) // 1024)
-    loads = [sum(sizes[i] for i in own) for own in packing.difference(sizes, len(windows))]
-    assert max(loads) - min(loads) <= 256
+    assert all(0 < sum(sizes[i] for i in own) <= 1024 for own in windows)
+    assert sorted(i for own in windows for i in own) == list(range(len(sizes)))
+    assert windows == packing.difference(sizes, len(windows))
+    # every smaller count has a window over capacity
+    fewest = -(-sum(sizes) // 1024)
+    assert all(max(sum(sizes[i] for i in own) for own in packing.difference(sizes, k)) > 1024 for k in range(fewest, len(windows)))
+    assert len(windows) <= fewest + 1 + fewest // 50
+
+
+def test_special_token_strings_are_encoded_like_the_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "a <|endoftext| b", "<|endoftext|> " * 50]
+    got = bpe.json_encoder(JSON).encode_list(texts + ["plain words"])
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts + ["plain words"]]
 
 
 def test_byte_bpe(spark, docs):
