@@ -1,19 +1,28 @@
 """Scoring texts by a probabilistic suffix tree.
 
-Symbols are tokens: the words of a text and its end. A context is the end of the text before a symbol: its
-last characters, up to ``DEPTH`` of them, where a word has a space before it and a text begins after line
-feeds. A context is a state of the tree if it was seen ``MIN_COUNT`` times and its next-symbol distribution
-diverges from that of the context without its oldest character: half the likelihood-ratio statistic must
-exceed the number of its symbols. A state's distribution is smoothed towards the next shorter state's
-(Witten-Bell). The root discounts the count of every training token by a constant, taken from how many
-tokens were seen once and twice, and gives what that frees to the one symbol that stands for all tokens
-never seen; the same symbol that the base has. A symbol is scored by the longest state that is a suffix of
-what stands before it, and the probabilities of all symbols after it sum to one.
-
-Two scans of the documents: the first counts pairs of context and token for each block of text, the second
-scores. Between them are aggregations and joins, one level of the tree after the other, over all training
-documents and without limits. Tokens travel as 64-bit hashes. The scores are written as files sorted by the
-pair's hash, about ``SHARD_ROWS`` rows each, which a scoring task reads one at a time.
+Symbols are tokens: the words of a text and its end. A context is a run of tokens that stands right before a
+symbol, and a text begins after an end. The root's distribution is that of all training tokens, discounted by
+a constant taken from how many were seen once and twice; what that frees goes to the one symbol that stands
+for all tokens never seen, the same symbol that the base has. From there the tree grows by one older token at
+a time, below states only, so it holds every suffix of its states. A context is a state if training has it
+``MIN_COUNT`` times and its distribution diverges from that of the context without its oldest token: the
+log-likelihood that it gains over its occurrences must exceed the number of symbols that it repeats, and one.
+No length bounds the tree; it ends where no context passes.
+
+A state's distribution takes one off each count and gives what that frees to the distribution of the next
+shorter state: (max(n - 1, 0) + kinds * p) / total. A symbol is scored by the longest state that is a suffix
+of what stands before it, and the probabilities of all symbols after it sum to one. The test takes p to the
+next 1/256 of a power of two.
+
+A symbol seen once after a context says nothing beyond how many such there are, and a run of tokens is not
+seen more often than a part of it. So a run goes on to be counted only while every part of it was seen twice.
+
+Documents are written as blocks of numbered tokens. Level by level, each block asks for the distinct contexts
+and pairs of context and symbol in it, in one request for each of many buckets; a bucket adds up what all
+blocks say and answers each of them. A block takes part in a bucket once, so copies of a document add nothing
+but a count, and a bucket holds about ``BUCKET_ROWS`` rows however large the corpus. The pairs of a context
+that has more occurrences than a bucket should hold are dealt out by their symbols; there are at most
+``MAX_HOT`` of these contexts, and their tests are aggregated by Spark. Tokens travel as 64-bit hashes.
 
 Cases: a null or empty text is its end alone; a null doc_id counts as the empty string for the split and
 is carried; repeated rows are counted and scored each; an empty table gives an empty result; with no
@@ -22,28 +31,34 @@ training documents the unknown symbol is certain; other columns are not read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
+from .neardup import mix64
 
-DEPTH = 2
 MIN_COUNT = 2
 FOLDS, HELD_FOLD = 7, 2
-SHARD_ROWS = 1 << 20
-BLOCK_CHARS = 24 << 20
-#: Stands for the end of a text, and for what stands before its beginning.
-END = "\n"
-#: States up to this many are sent to all tasks; more are joined by a shuffle.
-MAX_BROADCAST_STATES = 50_000
+BLOCK_CHARS = 12 << 20
+#: Rows that a bucket should hold, and how many contexts may be dealt out by symbol.
+BUCKET_ROWS = 1 << 20
+MAX_HOT = 1 << 16
+#: The end of a text, and what stands before its beginning.
+END = b"\n"
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BLOCKS = "block long, n_tokens long, payload binary"
+ASKS = "bucket int, block long, payload binary"
+ANSWERS = "block long, bucket int, payload binary, ctx long, total long, n long, q int"
+
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -56,71 +71,78 @@ def token_hash(token: bytes) -> int:
     return xxh3_64_intdigest(token)
 
 
-class Block:
-    """Documents of a task as numbers: distinct tokens, and distinct pairs of a context and the token after it."""
-
-    def __init__(self):
-        self.numbers: dict[bytes, int] = {END.encode(): 0}
-        self.docs: list[tuple[int | None, bool, np.ndarray]] = []
-        self.chars = 0
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        numbers = self.numbers
-        found = text.encode().lower().split()
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found))
-        self.docs.append((doc_id, is_held_out(doc_id), ids))
-        self.chars += len(text)
-
-    def close(self) -> None:
-        """Number the pairs; a document has one for each word and one for its end."""
-        contexts: dict[str, int] = {END * DEPTH: 0}
-        context_of = np.fromiter((contexts.setdefault((" " + w.decode())[-DEPTH:], len(contexts)) if i else 0 for i, w in enumerate(self.numbers)), np.int64, len(self.numbers))
-        sizes = np.array([len(ids) for _, _, ids in self.docs], np.int64)
-        self.held = np.array([h for _, h, _ in self.docs], bool)
-        token = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
-        is_word = np.ones(len(token), bool)
-        is_word[np.cumsum(sizes + 1) - 1] = False
-        token[is_word] = np.concatenate([ids for _, _, ids in self.docs])
-        self.doc_of = np.repeat(np.arange(len(sizes)), sizes + 1)
-        before = np.concatenate([[0], context_of[token[:-1]]])
-        distinct, self.pair_of = np.unique(before * len(self.numbers) + token, return_inverse=True)
-        self.pair_token, pair_context = distinct % len(self.numbers), distinct // len(self.numbers)
-        self.sizes = sizes + 1
-        self.context_names, self.pair_context = list(contexts), pair_context
-        hashes = np.fromiter(map(token_hash, self.numbers), np.uint64, len(self.numbers)).view(np.int64)
-        self.pair_hash = hashes[self.pair_token]
-
-    def train_counts(self) -> np.ndarray:
-        """Of each pair, in training documents."""
-        return np.bincount(self.pair_of[~self.held[self.doc_of]], minlength=len(self.pair_token))
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    block = Block()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block.add(doc_id, text.as_py())
-            if block.chars >= BLOCK_CHARS:
-                block.close()
-                yield block
-                block = Block()
-    if block.docs:
-        block.close()
-        yield block
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, equal places of their numbers side by side."""
+    import zstandard
+
+    head, body = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        head.append(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)))
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
 
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    kinds = [struct.unpack_from("<2sq", raw, 1 + 10 * i) for i in range(raw[0])]
+    at, out = 1 + 10 * len(kinds), []
+    for kind, n in kinds:
+        dtype = np.dtype("<" + kind.decode())
+        size = n * dtype.itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, n).T).reshape(-1).view(dtype))
+        at += size
+    return out
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """ctx, token, n: counts of pairs in training documents, for each block; those of other documents have 0."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            names = pa.array(block.context_names, pa.string())
-            counts = block.train_counts()
-            for i in range(0, len(counts), 200_000):
-                own = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(block.pair_context[own])), pa.array(block.pair_hash[own]), pa.array(counts[own], pa.int64())], names=["ctx", "token", "n"])
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, without a sign; ``np.cumsum`` is the way back."""
+    return np.diff(sorted_keys, prepend=np.uint64(0))
 
-    return docs.mapInArrow(count, "ctx string, token long, n long").groupBy("ctx", "token").agg(F.sum("n").alias("n"))
+
+def _slim(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts.astype(np.uint64)
+
+
+def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
+    """One row per block: its documents and tokens, numbered in order of their hashes."""
+
+    def close(number: int, doc_ids: list, words: list[np.ndarray], numbers: dict[bytes, int]) -> pa.RecordBatch:
+        sizes = np.array([len(w) for w in words], np.int64) + 1
+        token = np.zeros(int(sizes.sum()), np.int64)
+        is_word = np.ones(len(token), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        token[is_word] = np.concatenate(words)
+        hashes = np.fromiter(map(token_hash, numbers), np.uint64, len(numbers))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ids = np.array([x or 0 for x in doc_ids], np.int64)
+        flags = np.array([(x is not None) + 2 * is_held_out(x) for x in doc_ids], np.uint8)
+        data = packed(steps(hashes[order]), rank[token].astype(np.uint32), sizes, ids, flags, rank[:1])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(token)]), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["block", "n_tokens", "payload"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        doc_ids, words, numbers, chars = [], [], {END: 0}, 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                found = raw.lower().split()
+                words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
+                doc_ids.append(doc_id)
+                chars += len(raw)
+                if chars >= BLOCK_CHARS:
+                    yield close(number, doc_ids, words, numbers)
+                    number += 1
+                    doc_ids, words, numbers, chars = [], [], {END: 0}, 0
+        if doc_ids:
+            yield close(number, doc_ids, words, numbers)
+
+    return storage.written(docs.mapInArrow(write, BLOCKS), f"{folder}/blocks")
 
 
 def discount(seen_once: int, seen_twice: int) -> float:
@@ -128,78 +150,275 @@ def discount(seen_once: int, seen_twice: int) -> float:
     return min(0.95, max(0.05, seen_once / (seen_once + 2 * seen_twice))) if seen_once else 0.05
 
 
-def level_of(counts: DataFrame, shorter: DataFrame, folder: str) -> DataFrame:
-    """ctx, token, n, total, p, c of one level from its counts and the next shorter level.
-
-    A state's sums are aggregated, so a frequent context is spread over tasks like any other rows.
-    """
-    up = shorter.select(F.col("ctx").alias("parent"), "token", F.col("n").alias("n_up"), F.col("total").alias("total_up"), F.col("p").alias("p_up"), "c")
-    joined = counts.withColumn("parent", F.expr("right(ctx, length(ctx) - 1)")).join(up, ["parent", "token"])
-    joined = storage.written(joined.select("ctx", "token", "n", "n_up", "total_up", "p_up", "c"), f"{folder}/joined")
-    n = F.col("n").cast("double")
-    gain = F.when(F.col("n") > 0, n * (F.log(n) - F.log(F.try_divide(F.col("n_up"), F.col("total_up"))))).otherwise(0.0)
-    states = joined.groupBy("ctx").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds"), F.sum(gain).alias("gains"))
-    total = F.col("total").cast("double")
-    kept = (F.col("total") >= MIN_COUNT) & (F.col("gains") - total * F.log(F.greatest(total, F.lit(1.0))) > F.col("kinds"))
-    states = storage.written(states.select("ctx", "total", "kinds", kept.alias("kept")), f"{folder}/states")
-    if states.count() <= MAX_BROADCAST_STATES:
-        states = F.broadcast(states)
-    p = F.when(F.col("kept"), (F.col("n") + F.col("kinds") * F.col("p_up")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("p_up"))
-    return joined.join(states, "ctx").select("ctx", "token", "n", "total", p.alias("p"), "c")
-
-
-def tree(pairs: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
-    """ctx, token, p, c of every pair, the training tokens and the distinct ones among them."""
-    counts = {DEPTH: pairs}
-    for k in range(DEPTH - 1, -1, -1):
-        shorter = counts[k + 1].select(F.expr(f"right(ctx, {k})").alias("ctx"), "token", "n")
-        counts[k] = storage.written(shorter.groupBy("ctx", "token").agg(F.sum("n").alias("n")), f"{folder}/counts-{k}")
-    of = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    d = discount(of["once"], of["twice"])
-    total = F.lit(float(max(1, of["n"])))
-    p = F.when(F.col("n") > 0, (F.col("n") - F.lit(d)) / total).otherwise(F.lit(d * of["v"] / of["n"] if of["n"] else 1.0))
-    level = counts[0].select("ctx", "token", "n", F.lit(of["n"]).alias("total"), p.alias("p"), F.col("n").alias("c"))
-    for k in range(1, DEPTH + 1):
-        level = level_of(counts[k], level, f"{folder}/level-{k}")
-    return level.select("ctx", "token", "p", "c"), of["n"], of["v"]
-
-
-def write_shards(scored: DataFrame, folder: str) -> list[str]:
-    """Write the pairs' scores as files sorted by hash, about SHARD_ROWS rows each; returns the files."""
-    spark = scored.sparkSession
-    hashed = scored.select((F.col("token").bitwiseXOR(F.xxhash64("ctx"))).alias("h"), F.log10("p").alias("log_p"), "c")
-    hashed = storage.written(hashed, f"{folder}/hashed")
-    hashed.repartitionByRange(max(1, -(-hashed.count() // SHARD_ROWS)), "h").sortWithinPartitions("h").write.parquet(f"{folder}/shards")
-    storage.drop_dir(spark, f"{folder}/hashed")
-    return sorted(spark.read.parquet(f"{folder}/shards").inputFiles())
-
-
-def look_up(wanted: np.ndarray, files: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """log_p and c of each hash; one file in memory at a time."""
-    log_p, c = np.zeros(len(wanted)), np.zeros(len(wanted), np.int64)
-    order = np.argsort(wanted)
-    asked = wanted[order]
-    for file in files:
-        fs, path = storage.open_fs(file)
-        table = pq.read_table(path, filesystem=fs, columns=["h", "log_p", "c"])
-        h = table["h"].to_numpy()
-        if not len(h):
-            continue
-        low, high = np.searchsorted(asked, h[0], "left"), np.searchsorted(asked, h[-1], "right")
-        if low < high:
-            at = np.searchsorted(h, asked[low:high])
-            hit = h[at] == asked[low:high]
-            rows = order[low:high][hit]
-            log_p[rows], c[rows] = table["log_p"].to_numpy()[at[hit]], table["c"].to_numpy()[at[hit]]
-    return log_p, c
-
-
-def pair_hashes(block: Block) -> np.ndarray:
-    """The hashes that ``write_shards`` gives the block's pairs."""
-    from xxhash import xxh64_intdigest
-
-    of_context = np.fromiter((xxh64_intdigest(x.encode(), 42) for x in block.context_names), np.uint64, len(block.context_names)).view(np.int64)
-    return block.pair_hash ^ of_context[block.pair_context]
+class Root:
+    """What all blocks know of the training tokens, and how the work is dealt out."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int, buckets: int):
+        self.tokens, self.distinct, self.buckets = tokens, distinct, buckets
+        self.d = discount(once, twice)
+        self.hot_from = max(BUCKET_ROWS // 4, tokens // MAX_HOT) + 1
+
+    def probability(self, c: np.ndarray) -> np.ndarray:
+        if not self.tokens:
+            return np.ones(len(c))
+        return np.where(c > 0, (c - self.d) / self.tokens, self.d * self.distinct / self.tokens)
+
+
+class Block:
+    """A block's tokens, and for each of them its probability by the levels answered so far."""
+
+    def __init__(self, data: bytes):
+        hashes, codes, self.sizes, self.doc_ids, self.flags, end = unpacked(data)
+        self.hashes, self.codes, self.end = np.cumsum(hashes, dtype=np.uint64), codes.astype(np.int64), int(end[0])
+        self.doc_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.before = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.train = (self.flags < 2)[self.doc_of]
+
+    # the tokens themselves
+
+    def token_asks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        counts = np.bincount(self.codes[self.train], minlength=len(self.hashes))
+        for bucket, own in self._by_bucket(self.hashes, buckets):
+            yield bucket, packed(steps(self.hashes[own]), _slim(counts[own]))
+
+    @staticmethod
+    def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            if bounds[b] < bounds[b + 1]:
+                yield b, order[bounds[b] : bounds[b + 1]]
+
+    def take_tokens(self, answers: dict[int, bytes], root: Root) -> None:
+        self.c = np.zeros(len(self.hashes), np.int64)
+        for bucket, own in self._by_bucket(self.hashes, root.buckets):
+            self.c[own] = unpacked(answers[bucket])[0]
+        self.p = root.probability(self.c)[self.codes]
+        self.bound = self.c[self.codes]  # occurrences of the symbol after the longest context that was asked for
+        self.asked = np.zeros(len(self.codes), np.int32)  # and that context's length
+        self.active = np.arange(len(self.codes))
+        self.context = np.zeros(len(self.codes), np.int64)
+        self.context_hash = np.zeros(1, np.uint64)
+
+    # contexts of ``k`` tokens
+
+    def open_level(self, k: int, root: Root) -> None:
+        """Number the contexts and the pairs that this level asks for, in the order in which they travel."""
+        at, first = self.active, self.before[self.active] == k - 1
+        prior = np.maximum(at - 1, 0)
+        begun = self.before[at] == 0  # nothing but the beginning stands before
+        bound = np.where(begun, self.c[self.end], self.bound[prior])
+        exact = (np.where(begun, 0, self.asked[prior]) == k - 1) if k > 1 else np.ones(len(at), bool)
+        live = (self.before[at] >= k - 1) & (bound >= MIN_COUNT)
+        at, first, bound, exact, context = at[live], first[live], bound[live], exact[live], self.context[live]
+        oldest = np.where(first, self.end, self.codes[np.maximum(at - k, 0)])
+        keys, some, own = np.unique(context * len(self.hashes) + oldest, return_index=True, return_inverse=True)
+        h = mix64(self.context_hash[context[some]] * _A + self.hashes[oldest[some]] + np.uint64(k))
+        hot, total = exact[some] & (bound[some] >= root.hot_from), bound[some]
+        bucket = (h % np.uint64(root.buckets)).astype(np.int64)
+        order = np.lexsort((h, bucket, hot))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.active, self.context, self.context_hash = at, rank[own], h[order]
+        self.hot, self.total, bucket = hot[order], total[order], bucket[order]
+        self.m = np.bincount(self.context, weights=self.train[at], minlength=len(order)).astype(np.int64)
+        self.pairing = np.flatnonzero(self.bound[at] >= MIN_COUNT)
+        pairs, some, self.pair_of = np.unique(self.context[self.pairing] * len(self.hashes) + self.codes[at[self.pairing]], return_index=True, return_inverse=True)
+        self.pair_context, symbol = pairs // len(self.hashes), self.hashes[pairs % len(self.hashes)]
+        self.pair_symbol = symbol >> np.uint64(16)
+        self.pair_n = np.bincount(self.pair_of, weights=self.train[at[self.pairing]], minlength=len(pairs)).astype(np.int64)
+        self.pair_q = np.maximum(np.round(np.log2(self.p[at[self.pairing[some]]]) * 256), -32768).astype(np.int16)
+        n_cool = int((~self.hot).sum())
+        cut = int(np.searchsorted(self.pair_context, n_cool))
+        edges = np.searchsorted(bucket[:n_cool], np.arange(root.buckets + 1))
+        self.cool = [(slice(a, b), slice(*np.searchsorted(self.pair_context[:cut], [a, b]))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        spread = (mix64(self.context_hash[self.pair_context[cut:]] ^ symbol[cut:]) % np.uint64(root.buckets)).astype(np.int64)
+        order = np.argsort(spread, kind="stable") + cut
+        edges = np.searchsorted(spread[order - cut], np.arange(root.buckets + 1))
+        self.dealt = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        for b, ((contexts, pairs), hot) in enumerate(zip(self.cool, self.dealt, strict=True)):
+            if contexts.start == contexts.stop and not len(hot):
+                continue
+            per = np.bincount(self.pair_context[pairs] - contexts.start, minlength=contexts.stop - contexts.start)
+            hot_contexts, of_hot = np.unique(self.pair_context[hot], return_counts=True)
+            yield b, packed(
+                *(steps(self.context_hash[contexts]), _slim(self.m[contexts]), _slim(per), *self._pairs(pairs)),
+                *(steps(self.context_hash[hot_contexts]), self.total[hot_contexts], _slim(of_hot), *self._pairs(hot)),
+            )
+
+    def _pairs(self, own) -> tuple[np.ndarray, ...]:
+        return steps(self.pair_symbol[own]), _slim(self.pair_n[own]), self.pair_q[own]
+
+    def take_level(self, k: int, answers: dict[int, bytes], hot_states: np.ndarray) -> None:
+        """``hot_states``: hash, total and kinds of the states among contexts that are dealt out by symbol."""
+        total, kinds, n = np.zeros(len(self.m), np.int64), np.zeros(len(self.m), np.int64), np.zeros(len(self.pair_n), np.int64)
+        for b, ((contexts, pairs), hot) in enumerate(zip(self.cool, self.dealt, strict=True)):
+            if contexts.start < contexts.stop or len(hot):
+                total[contexts], kinds[contexts], n[pairs], n[hot] = unpacked(answers[b])
+        if len(hot_states) and self.hot.any():
+            mine = np.flatnonzero(self.hot)
+            h = self.context_hash[mine].view(np.int64)
+            at = np.minimum(np.searchsorted(hot_states["ctx"], h), len(hot_states) - 1)
+            same = hot_states["ctx"][at] == h
+            total[mine[same]], kinds[mine[same]] = hot_states["total"][at[same]], hot_states["kinds"][at[same]]
+        seen = np.zeros(len(self.active), np.int64)
+        seen[self.pairing] = n[self.pair_of]
+        self.bound[self.active[self.pairing]] = seen[self.pairing]
+        self.asked[self.active] = k
+        of, kind = total[self.context], kinds[self.context]
+        state = of > 0
+        p = self.p[self.active]
+        self.p[self.active] = np.where(state, (np.maximum(seen - 1, 0) + kind * p) / np.maximum(of, 1), p)
+        self.active, self.context = self.active[state], self.context[state]
+
+    def scores(self, root: Root) -> pa.RecordBatch:
+        per = lambda values: np.bincount(self.doc_of, weights=values, minlength=len(self.sizes))
+        base = np.log10((self.c + 1) / float(root.tokens + root.distinct + 1))[self.codes]
+        held = pa.array(self.flags >= 2)
+        ids = pa.array(self.doc_ids, mask=self.flags % 2 == 0)
+        known = per((self.c > 0)[self.codes].astype(float)).astype(np.int64)
+        every = pa.array(np.full(len(self.sizes), root.tokens, np.int64))
+        return pa.RecordBatch.from_arrays([ids, held, pa.array(self.sizes), pa.array(known), every, pa.array(per(base)), pa.array(per(np.log10(self.p)))], names=[x.split()[0] for x in SCORES.split(", ")])
+
+
+def sum_tokens(parts: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], tuple[int, int, int, int]]:
+    """Answers of one bucket to (block, ask), and its training tokens, distinct ones, those seen once and twice."""
+    asked = [unpacked(x) for _, x in parts]
+    keys = np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in asked])
+    _, own = np.unique(keys, return_inverse=True)
+    c = np.bincount(own, weights=np.concatenate([n for _, n in asked])).astype(np.int64)
+    ends = np.cumsum([len(h) for h, _ in asked])
+    out = [(block, packed(_slim(c[own[e - len(h) : e]]))) for (block, _), (h, _), e in zip(parts, asked, ends, strict=True)]
+    return out, (int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum()))
+
+
+def _pair_counts(context: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pairs: where one stands, their counts, and which of them each row is."""
+    _, some, own = np.unique(mix64((context.astype(np.uint64) + np.uint64(1)) * _B ^ mix64(symbols)), return_index=True, return_inverse=True)
+    return some, np.bincount(own, weights=n, minlength=len(some)).astype(np.int64), own
+
+
+def state_test(total: np.ndarray, context: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each context is a state, and its number of kinds, from its pairs that were seen twice or more."""
+    repeats = np.bincount(context, minlength=len(total))
+    kinds = total - np.bincount(context, weights=n - 1, minlength=len(total)).astype(np.int64)
+    p = np.exp2(q / 256.0)
+    of, kind = np.maximum(total, 1), np.maximum(kinds, 1)
+    gain = np.bincount(context, weights=n * np.log((n - 1 + kind[context] * p) / (of[context] * p)), minlength=len(total)) + (kinds - repeats) * np.log(kind / of)
+    return (total >= MIN_COUNT) & (gain > np.maximum(repeats, 1)), kinds
+
+
+def sum_level(parts: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
+    """Answers of one bucket to (block, ask), and the repeated pairs of the contexts dealt out by symbol."""
+    asked = [unpacked(x) for _, x in parts]
+
+    def joined(first: int) -> tuple[np.ndarray, ...]:
+        keys = np.concatenate([np.cumsum(a[first], dtype=np.uint64) for a in asked])
+        symbols = np.concatenate([np.cumsum(a[first + 3], dtype=np.uint64) for a in asked])
+        m, per, n, q = (np.concatenate([a[first + i] for a in asked]).astype(np.int64) for i in (1, 2, 4, 5))
+        distinct, some, own = np.unique(keys, return_index=True, return_inverse=True)
+        context = np.repeat(own, per)
+        some_pair, counts, own_pair = _pair_counts(context, symbols, n)
+        again = counts >= MIN_COUNT
+        return distinct, m, some, own, counts, own_pair, context[some_pair[again]], counts[again], q[some_pair[again]]
+
+    distinct, m, _, own, counts, own_pair, context, n, q = joined(0)
+    total = np.bincount(own, weights=m, minlength=len(distinct)).astype(np.int64)
+    state, kinds = state_test(total, context, n, q)
+    total, kinds = np.where(state, total, 0)[own], np.where(state, kinds, 0)[own]
+    counts = counts[own_pair]
+    hot, hot_total, some, _, hot_counts, hot_pair, hot_context, hot_n, hot_q = joined(6)
+    hot_counts = hot_counts[hot_pair]
+    ends = lambda i: np.cumsum([0, *(len(a[i]) for a in asked)])
+    e, f, g = ends(0), ends(3), ends(9)
+    out = [(block, packed(_slim(total[e[i] : e[i + 1]]), _slim(kinds[e[i] : e[i + 1]]), _slim(counts[f[i] : f[i + 1]]), _slim(hot_counts[g[i] : g[i + 1]]))) for i, (block, _) in enumerate(parts)]
+    return out, (hot.view(np.int64)[hot_context], hot_total[some][hot_context], hot_n, hot_q)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of neighbours with equal ``key``."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held
+
+
+def exchange(asks: DataFrame, buckets: int, level: int, path: str) -> DataFrame:
+    """Bring the asks of a bucket together and write its answers."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("ctx", pa.int64()), ("total", pa.int64()), ("n", pa.int64()), ("q", pa.int32())])
+        for bucket, rows in _runs(batches, "bucket"):
+            parts = [(r["block"], r["payload"]) for r in rows]
+            if level == 0:
+                out, totals = sum_tokens(parts)
+                extra = [np.array([x], np.int64) for x in totals]
+            else:
+                out, extra = sum_level(parts)
+            replies = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)]
+            none = [pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([replies[0], pa.array([bucket] * len(out), pa.int32()), replies[1], *none], schema=schema)
+            for i in range(0, len(extra[0]), 100_000):
+                own = [pa.array(x[i : i + 100_000]) for x in extra]
+                size = len(own[0])
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array([bucket] * size, pa.int32()), pa.nulls(size, pa.binary()), *own[:3], own[3].cast(pa.int32())], schema=schema)
+
+    dealt = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    return storage.written(dealt.mapInArrow(answer, ANSWERS), path)
+
+
+def hot_states(answers: DataFrame) -> np.ndarray:
+    """hash, total and kinds of the states among the contexts dealt out by symbol: at most MAX_HOT rows."""
+    pairs = answers.filter("ctx IS NOT NULL").select("ctx", "total", F.col("n").cast("double").alias("n"), F.pow(F.lit(2.0), F.col("q") / 256).alias("p"))
+    per = pairs.groupBy("ctx").agg(F.max("total").cast("double").alias("total"), (F.max("total") - F.sum(F.col("n") - 1)).alias("kinds"), F.count(F.lit(1)).alias("repeats"))
+    gain = F.sum(F.col("n") * F.log((F.col("n") - 1 + F.col("kinds") * F.col("p")) / (F.col("total") * F.col("p"))))
+    tested = pairs.select("ctx", "n", "p").join(F.broadcast(per), "ctx").groupBy("ctx", "total", "kinds", "repeats").agg(gain.alias("gain"))
+    kept = tested.filter(F.col("gain") + (F.col("kinds") - F.col("repeats")) * F.log(F.col("kinds") / F.col("total")) > F.col("repeats"))
+    rows = [(r["ctx"], int(r["total"]), int(r["kinds"])) for r in kept.select("ctx", "total", "kinds").collect()]
+    return np.array(sorted(rows), np.dtype([("ctx", "<i8"), ("total", "<i8"), ("kinds", "<i8")]))
+
+
+def _replayed(batches: Iterator[pa.RecordBatch], root: Root, states: list[np.ndarray]) -> Iterator[tuple[int, Block]]:
+    """Blocks with all levels taken that were answered."""
+    for number, rows in _runs(batches, "block"):
+        block = Block(rows[0]["payload"])
+        answers: list[dict[int, bytes]] = [{} for _ in range(len(states) + 1)]
+        for r in rows[1:]:
+            answers[r["level"]][r["bucket"]] = r["payload"]
+        block.take_tokens(answers[0], root)
+        for k, own in enumerate(states, 1):
+            block.open_level(k, root)
+            block.take_level(k, answers[k], own)
+        yield number, block
+
+
+def _ask(k: int, root: Root, states: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, block in _replayed(batches, root, states):
+        block.open_level(k, root)
+        yield _asks_batch(number, list(block.asks()))
+
+
+def _asks_batch(number: int, asks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asks], pa.int32()), pa.array([number] * len(asks), pa.int64()), pa.array([x for _, x in asks], pa.binary())], names=["bucket", "block", "payload"])
+
+
+def _ask_tokens(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _asks_batch(row["block"], list(Block(row["payload"]).token_asks(buckets)))
+
+
+def _score(root: Root, states: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, block in _replayed(batches, root, states):
+        yield block.scores(root)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -207,24 +426,30 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = storage.work_dir(spark, "suffixtree")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = storage.written(count_pairs(rows), f"{folder}/pairs")
+    blocks = write_blocks(rows, folder)
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    if not size["blocks"]:
+        return spark.createDataFrame([], SCORES)
+    buckets = -(-size["tokens"] // BUCKET_ROWS)
+
+    def with_answers(levels: list[DataFrame]) -> DataFrame:
+        """Blocks, each followed by the answers that it got."""
+        out = blocks.select("block", F.lit(-1).alias("level"), F.lit(-1).alias("bucket"), "payload")
+        for k, level in enumerate(levels):
+            out = out.unionByName(level.filter("block IS NOT NULL").select("block", F.lit(k).alias("level"), "bucket", "payload"))
+        return out.repartition(size["blocks"], "block").sortWithinPartitions("block", "level", "bucket")
+
+    levels = [exchange(blocks.mapInArrow(partial(_ask_tokens, buckets), ASKS), buckets, 0, f"{folder}/level-0")]
+    of = levels[0].filter("ctx IS NOT NULL").agg(*(F.sum(x).alias(x) for x in ("ctx", "total", "n", "q"))).first()
+    root = Root(of["ctx"], of["total"], of["n"], of["q"], buckets)
+    states: list[np.ndarray] = []
+    while True:
+        storage.release(spark)
+        k = len(levels)
+        answers = exchange(with_answers(levels).mapInArrow(partial(_ask, k, root, states), ASKS), buckets, k, f"{folder}/level-{k}")
+        if not answers.limit(1).count():
+            break
+        levels.append(answers)
+        states.append(hot_states(answers))
     storage.release(spark)
-    scored, train_tokens, distinct = tree(pairs, folder)
-    storage.release(spark)
-    files = write_shards(scored, folder)
-    for name in ("pairs", *(f"counts-{k}" for k in range(DEPTH)), *(f"level-{k}" for k in range(1, DEPTH + 1))):
-        storage.drop_dir(spark, f"{folder}/{name}")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = float(train_tokens + distinct + 1)
-        for block in blocks(batches):
-            log_p, c = look_up(pair_hashes(block), files)
-            base = np.log10((c + 1) / size)
-            per = lambda values: np.bincount(block.doc_of, weights=values[block.pair_of], minlength=len(block.docs))
-            n_known = per((c > 0).astype(float)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _, _ in block.docs], pa.int64()), pa.array(block.held), pa.array(block.sizes), pa.array(n_known), pa.array([train_tokens] * len(block.docs), pa.int64()), pa.array(per(base)), pa.array(per(log_p))],
-                names=[x.split()[0] for x in SCORES.split(", ")],
-            )
-
-    return rows.mapInArrow(score, SCORES)
+    return with_answers(levels).mapInArrow(partial(_score, root, states), SCORES)
