@@ -2,11 +2,12 @@
 
 The standard library's parser streams a page's events; every block-level tag ends a line, so a line is a
 block's text with the tags that stand in it. Its ratio is text characters to tags. Ratios are smoothed by
-a Gaussian, and lines over a threshold (the spread of the ratios) form the content cluster. The element
-that holds most of the cluster is the content region, an article or main element before any other; without
-these it is never a single block, list or table, but what contains it and the blocks beside it. All blocks
-of the region are kept, short ones too, but for parts that their tag, role or class names as menu, header,
-footer, sidebar, notice, advert, form or comments, and, without an article or main element, runs of blocks that are links only.
+a Gaussian, and lines over a threshold (the spread of the ratios) form the content cluster. The content region
+is the deepest element that holds ``HOLDS`` of the cluster's characters; where that is a single block, list or
+table, it is what contains it and the blocks beside it. An article or main element has no privilege there. All
+blocks of the region are kept, short ones too, but for parts that their tag, role or class names as menu,
+header, footer, sidebar, notice, advert, form or comments, and, outside an article or main element, blocks
+that are links only and stand before or after all other lines of the cluster.
 
 Cases: a null or empty html, or one without text, gives an empty text; a null page_id or url is carried;
 unclosed and crossed tags close with what is around them; repeated rows give a row each; an empty table
@@ -36,7 +37,7 @@ DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising spons
 CLOSED_BY = {"p": BLOCKS - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 SIGMA = 1.0
-LINK_SHARE, LINK_RUN = 0.9, 3
+LINK_SHARE, HOLDS = 0.9, 0.8
 
 
 class Lines(HTMLParser):
@@ -149,6 +150,23 @@ def container(page: Lines, region: int) -> int:
     return region
 
 
+def content_lines(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Which lines form the content cluster: their smoothed text-to-tag ratio is over the ratios' spread."""
+    ratios = np.array([len(t) / max(1, tags) for t, tags, _, _ in blocks])
+    smoothed = smooth(ratios)
+    return smoothed >= min(smoothed.std(), smoothed.max())
+
+
+def region_of(page: Lines, content: np.ndarray) -> int:
+    """The element that holds the content cluster: the deepest with ``HOLDS`` of its characters, no mere part of a text."""
+    held = np.zeros(len(page.name))
+    for line, (text, _, _, e) in zip(content, page.blocks, strict=True):
+        held[e] += len(text) if line else 0
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    return container(page, int(max(np.flatnonzero(held >= HOLDS * held[0]))))
+
+
 def extract(html: str) -> str:
     """The main text of a page: blocks in page order, joined by line feeds."""
     page = Lines()
@@ -156,39 +174,16 @@ def extract(html: str) -> str:
     page.finish()
     if not page.blocks:
         return ""
-    chars = np.array([len(t) for t, _, _, _ in page.blocks], float)
-    smoothed = smooth(chars / np.maximum(1, [n for _, n, _, _ in page.blocks]))
-    content = smoothed >= min(smoothed.std(), smoothed.max())
-    weight = np.where(content, chars, 0.0)
-    homes = np.array([page.home[e] for _, _, _, e in page.blocks])
-    if homes.any():
-        by_home = np.bincount(homes, weights=weight + 1e-3 * chars)
-        by_home[0] = -1
-        inside = homes == int(by_home.argmax())
-    else:
-        held = np.zeros(len(page.name))
-        for w, (_, _, _, e) in zip(weight, page.blocks, strict=True):
-            held[e] += w
-        for e in range(len(held) - 1, 0, -1):
-            held[page.parent[e]] += held[e]
-        region = container(page, int(max(np.flatnonzero(held >= 0.8 * held[0]))))
-        within = [False] * len(page.name)
-        for e in range(len(within)):
-            within[e] = e == region or e > 0 and within[page.parent[e]]
-        inside = np.array([within[e] for _, _, _, e in page.blocks])
-    linked = [not homes.any() and n >= LINK_SHARE * len(t.replace(" ", "")) for t, _, n, _ in page.blocks]
-    out: list[str] = []
-    run: list[str] = []
-    for (text, _, _, _), keep, link in zip(page.blocks, inside, linked, strict=True):
-        if not keep:
-            continue
-        if link:
-            run.append(text)
-            continue
-        out += run if len(run) < LINK_RUN else []
-        run = []
-        out.append(text)
-    out += run if len(run) < LINK_RUN else []
+    content = content_lines(page.blocks)
+    region = region_of(page, content)
+    within = [False] * len(page.name)
+    for e in range(len(within)):
+        within[e] = e == region or e > 0 and within[page.parent[e]]
+    # blocks of links alone before or after all content are a menu, unless an article element holds them
+    links = [n >= LINK_SHARE * len(t.replace(" ", "")) and not page.home[e] for t, _, n, e in page.blocks]
+    lines = [i for i, (_, _, _, e) in enumerate(page.blocks) if content[i] and within[e] and not links[i]]
+    first, last = (lines[0], lines[-1]) if lines else (0, len(links))
+    out = [text for i, (text, _, _, e) in enumerate(page.blocks) if within[e] and (first <= i <= last or not links[i])]
     return "\n".join(out)
 
 

@@ -1,5 +1,9 @@
 """Main text of planted pages."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 
 from crestline.llm import htmltext
@@ -41,3 +45,66 @@ def test_an_article_keeps_its_list_of_links():
     for wrap in ("<article>%s</article>", "<main>%s</main>"):
         assert htmltext.extract(AROUND % (wrap % (ARTICLE + sources))) == WANT + "".join(f"\nSource number {i}" for i in range(4))
     assert htmltext.extract(AROUND % (f"<div>{ARTICLE}{sources}</div>")) == WANT
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Go {i}</a>' for i in range(8)) + "</ul>"
+    assert htmltext.extract(f"<body>{menu}<p>{'words of the page ' * 40}</p><p>Some more.</p></body>") == ("words of the page " * 40).strip() + "\nSome more."
+
+
+def test_smoothing_and_threshold_equal_plain_sums():
+    r = random.Random(2)
+    for n in (1, 2, 3, 7, 40):
+        blocks = [("x" * r.choice([1, 5, 30, 400]), r.randint(0, 9), 0, 0) for _ in range(n)]
+        ratios = [len(t) / max(1, tags) for t, tags, _, _ in blocks]
+        plain = []
+        for i in range(n):
+            near = [(math.exp(-0.5 * ((j - i) / htmltext.SIGMA) ** 2), ratios[j]) for j in range(n) if abs(j - i) <= 2 * htmltext.SIGMA]
+            plain.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        mean = sum(plain) / n
+        spread = math.sqrt(sum((x - mean) ** 2 for x in plain) / n)
+        assert htmltext.smooth(np.array(ratios)) == pytest.approx(plain)
+        assert [bool(x) for x in htmltext.content_lines(blocks)] == [x >= min(spread, max(plain)) - 1e-9 for x in plain]
+
+
+def planted_page(r):
+    """A page without article or main element or telling names, and the text of its article."""
+    word = lambda: "".join(r.choices("etaoinshr", k=r.randint(2, 8)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    links = lambda n: "".join(f'<li><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(n))
+    parts, want = [], []
+    for _ in range(r.randint(6, 20)):
+        kind, text = r.choice("ppppphlqt"), words(15, 90)
+        if kind == "p":
+            parts.append(f"<p>{text}</p>")
+            want.append(text)
+        elif kind == "h":
+            text = words(2, 6)
+            parts.append(f"<h2>{text}</h2>")
+            want.append(text)
+        elif kind == "l":
+            items = [words(4, 20) for _ in range(r.randint(1, 4))]
+            parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            want += items
+        elif kind == "q":
+            parts.append(f"<blockquote><p>{text}</p></blockquote>")
+            want.append(text)
+        else:
+            cells = [words(3, 9) for _ in range(4)]
+            parts.append("<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2])) + "</table>")
+            want += cells
+    parts.append(f"<p>{'long ' * 60}</p>")
+    want.append(("long " * 60).strip())
+    body = r.choice(["<div>%s</div>", "<div><div class=x1>%s</div></div>", "<section>%s</section>"]) % "".join(parts)
+    around = [f"<div><ul>{links(r.randint(2, 7))}</ul></div>", body, f"<div><ul>{links(r.randint(2, 7))}</ul></div>"]
+    return f"<html><body>{''.join(around)}</body></html>", "\n".join(want)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_the_cluster_finds_articles_that_nothing_names(seed):
+    html, want = planted_page(random.Random(seed))
+    assert htmltext.extract(html) == want
+
+
+def test_links_between_content_stay_without_an_article_element():
+    words = "some words that make up a paragraph of the article and more of them " * 3
+    links = "".join(f'<p><a href="/{i}">Link number {i}</a></p>' for i in range(4))
+    got = htmltext.extract(f"<body><div><p>{words}</p>{links}<p>{words}</p></div></body>").split("\n")
+    assert len(got) == 6
