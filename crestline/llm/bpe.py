@@ -4,8 +4,8 @@ A byte-level BPE splits a text by a pattern before it merges, and a single space
 that are not white space is always such a split: a piece may begin with one space and never ends with
 one. The same holds for a single line feed, which is a piece of its own. So a text may be cut there, and
 equal stretches have equal ids wherever they stand. Texts repeat most of their words; the library then
-sees each distinct stretch once for each Python worker instead of once for each occurrence. A text that holds
-the string of a special token goes to the library whole, which gives that string the special token's id.
+sees a stretch that is remembered once instead of once for each occurrence. A text that holds the string of
+a special token goes to the library whole, which gives that string the special token's id.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import string
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Stretches that a worker remembers; beyond it the memory is emptied. It bounds memory, not results.
-MAX_ENTRIES = 800_000
+#: Bytes of stretches and ids in one generation of the memory; a worker has two. They bound memory, not results.
+KEPT_BYTES = 32 << 20
 #: Longer stretches are encoded and not remembered.
 MAX_KEPT_CHARS = 48
 
@@ -33,14 +34,43 @@ PUNCTUATION = string.punctuation
 PLAIN = "\u0250"
 
 
+class Memory:
+    """Ids of stretches, in two generations: what is not asked for again while a generation fills is forgotten."""
+
+    def __init__(self, limit: int = KEPT_BYTES):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size, self.limit = 0, limit
+
+    def get(self, stretch: str) -> bytes | None:
+        if (v := self.young.get(stretch)) is None and (v := self.old.get(stretch)) is not None:
+            self.put(stretch, v)
+        return v
+
+    def get_all(self, stretches: list[str]) -> list[bytes | None]:
+        values = list(map(self.young.get, stretches))
+        if self.old:
+            for i in [i for i, v in enumerate(values) if v is None]:
+                values[i] = self.get(stretches[i])
+        return values
+
+    def put(self, stretch: str, ids: bytes) -> None:
+        if len(stretch) > MAX_KEPT_CHARS:
+            return
+        self.size += sys.getsizeof(stretch) + sys.getsizeof(ids) + 104  # 104: its place in the dictionary
+        if self.size > self.limit:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[stretch] = ids
+
+
 class CachedEncoder:
     """Encodes texts to ids by ``tokenizer``, a byte-level BPE of the ``tokenizers`` library."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.inner: dict[str, bytes | None] = {}  # a stretch after a space -> its ids, with the space
-        self.head: dict[str, bytes | None] = {}  # a stretch at the start of a text or a line
-        self.tail: dict[str, bytes] = {}  # a run of punctuation after a letter
+        self.inner = Memory()  # a stretch after a space -> its ids, with the space
+        self.head = Memory()  # a stretch at the start of a text or a line
+        self.tail = Memory()  # a run of punctuation after a letter
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._direct(["\n"])[0]
         self.letters = byte_alphabet()
@@ -55,9 +85,9 @@ class CachedEncoder:
         as_bytes = self.id_bytes
         return b"".join([as_bytes[t.id] for t in self.model.tokenize(spelled)])
 
-    def _values(self, stretches: list[str], known: dict[str, bytes | None], lead: str) -> list[bytes | None]:
+    def _values(self, stretches: list[str], known: Memory, lead: str) -> list[bytes | None]:
         """Ids of the stretches; None for one that may not be cut off at its ends."""
-        values = list(map(known.get, stretches))
+        values = known.get_all(stretches)
         rest: list[tuple[int, str]] = []
         broken: list[tuple[int, list[str]]] = []
         for i in [i for i, v in enumerate(values) if v is None]:
@@ -73,18 +103,17 @@ class CachedEncoder:
                 continue
             if (v := known.get(stem)) is None:
                 v = self._word(lead + stem)
-                if len(stem) <= MAX_KEPT_CHARS:
-                    known[stem] = v
+                known.put(stem, v)
             if len(stem) < len(p):
                 run = p[len(stem) :]
-                if run not in self.tail:
-                    self.tail[run] = self._direct([run])[0]
-                v += self.tail[run]
+                if (after := self.tail.get(run)) is None:
+                    after = self._direct([run])[0]
+                    self.tail.put(run, after)
+                v += after
             values[i] = v
         for (i, p), v in zip(rest, self._direct([lead + p for _, p in rest]) if rest else (), strict=True):
             values[i] = v
-            if len(p) <= MAX_KEPT_CHARS:
-                known[p] = v
+            known.put(p, v)
         if broken:
             firsts = self._values([lines[0] for _, lines in broken], known, lead)
             later = iter(self._values([x for _, lines in broken for x in lines[1:]], self.head, ""))
@@ -106,8 +135,6 @@ class CachedEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (strings without nulls), end to end, and where each text's begin."""
-        if len(self.inner) + len(self.head) + len(self.tail) > MAX_ENTRIES:
-            self.inner, self.head, self.tail = {}, {}, {}
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
@@ -148,7 +175,7 @@ class CachedEncoder:
 
 
 #: Bytes of text encoded at once: bounds the memory of the working arrays.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 4 << 20
 
 
 def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

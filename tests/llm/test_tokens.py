@@ -124,6 +124,18 @@ def test_special_token_strings_are_encoded_like_the_library(spark):
     assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts + ["plain words"]]
 
 
+def test_memory_is_bounded_and_changes_nothing():
+    small = bpe.CachedEncoder(bpe.json_encoder(JSON).tokenizer)
+    for memory in (small.inner, small.head, small.tail):
+        memory.limit = 2000
+    r = random.Random(5)
+    words = ["".join(r.choices("abcXYZ'é.-", k=r.randint(1, 9))) for _ in range(300)] + ["-" * 5000, "x" + "-" * 5000]
+    for _ in range(5):
+        texts = [" ".join(r.choices(words, k=60)) for _ in range(20)]
+        assert [x.tolist() for x in small.encode_list(texts)] == [small.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(m.size <= m.limit and all(len(x) <= bpe.MAX_KEPT_CHARS for x in (*m.young, *m.old)) for m in (small.inner, small.head, small.tail))
+
+
 def test_byte_bpe(spark, docs):
     import tiktoken
 
