@@ -6,7 +6,8 @@ record as a gzip member of its own and writes a sidecar index with each member's
 that a reader can fetch any record alone. ``read_records`` reads through the index.
 
 Of pages with equal payloads, the one with the smallest page_id is written as a response and the others
-as revisits that refer to it. Only payloads that occur more than once are joined back to the pages.
+as revisits that refer to it. Only ids and digests meet by digest; the payloads travel by page_id and digest
+together, so a payload that many pages share is spread over tasks.
 
 Cases: a null html is an empty payload; equal empty payloads are revisits like others when
 ``min_revisit_bytes`` is 0; rows that repeat the smallest page_id of a payload are responses all; a null
@@ -63,12 +64,13 @@ def http_head(payload_bytes: int) -> bytes:
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: the smallest page_id with an equal payload, where that is another."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    long_enough = F.octet_length("html") >= min_revisit_bytes
-    digests = rows.filter(long_enough).select("page_id", F.sha1("html").alias("digest"))
+    keyed = rows.withColumn("digest", F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1("html")))
+    digests = keyed.filter("digest IS NOT NULL").select("page_id", "digest")
     repeated = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
-    keyed = rows.withColumn("digest", F.when(long_enough, F.sha1("html")))
-    joined = keyed.join(repeated, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"))
+    later = digests.join(repeated, "digest").filter(~F.col("first_id").eqNullSafe(F.col("page_id"))).distinct()
+    later = later.select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), F.col("first_id").alias("refers_to"))
+    joined = keyed.join(later, keyed["page_id"].eqNullSafe(later["later_id"]) & (keyed["digest"] == later["later_digest"]), "left")
+    return joined.select("page_id", "url", "html", "refers_to")
 
 
 def write_monolithic(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
