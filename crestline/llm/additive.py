@@ -4,12 +4,16 @@ A vector is approximated by a sum of one codeword from each of ``BOOKS`` full-di
 start as residual codebooks (k-means of what the earlier ones leave) and are then fitted together by least
 squares to the codes that a beam search finds. Every row is encoded by the same beam search and stored
 with its codes, the squared norm of its approximation and the vector itself. A query's table of products
-with all codewords gives a score for each stored row by lookups; the best eighth of each block of the
-index, ``RERANK`` rows at least, is then measured exactly, in double precision, and the nearest of all blocks are kept.
+with all codewords gives a score for each stored row by lookups; the best of them, one in ``RERANK_PART`` of
+each block of the index, are then measured exactly, in double precision, and the nearest of all blocks kept.
 
-The codebooks are fitted on at most ``SAMPLE`` rows, those with the smallest hash of vec_id. Queries are
-written as files of ``QUERY_ROWS`` rows that every index task reads one after another, so what a task
-holds does not grow with the number of queries.
+Rows lie in lists by the codeword of the first codebook that is nearest to them, and a query visits the lists
+nearest to it. How many is measured on the sample: the fewest that hold ``PROBED`` of the true neighbours
+there. Vectors in clusters need few; vectors that spread evenly in all directions need most of the lists.
+A list of more than ``BLOCK_ROWS`` rows is dealt out to several blocks. A task holds one block, and the
+queries that visit it pass by, so what it holds grows neither with the rows nor with the queries.
+
+The codebooks are fitted on at most ``SAMPLE`` rows, those with the smallest hash of vec_id.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows without a vec_id; ties go to the smaller vec_id; a repeated vec_id is
@@ -23,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,13 @@ from . import storage
 BOOKS, WORDS, BEAM = 16, 64, 8
 SAMPLE = 8192
 ROUNDS = 3
-#: Rows of a block that are measured exactly: one in RERANK_PART, at least RERANK.
-RERANK, RERANK_PART = 256, 8
-QUERY_ROWS = 1024
-BLOCK_ROWS = 16384
+#: One in so many rows of a block is measured exactly.
+RERANK_PART = 8
+#: The share of true neighbours that the visited lists hold, and the sample's queries that it is measured by.
+PROBED, PROBE_QUERIES = 0.99, 512
+BLOCK_ROWS, QUERY_ROWS = 16384, 1024
 SEED = 7
 
-INDEX = "vec_id long, embedding array<float>, codes binary, norm float"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -100,8 +103,9 @@ def fit_codebooks(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = R
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding array<float> of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    """vec_id, embedding of the rows that take part; components stay floats or become doubles."""
+    element = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -110,81 +114,136 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64)
+
+
+def lists_by_distance(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The lists of each row, nearest first."""
+    return np.argsort((words**2).sum(-1) - 2 * x @ words.T, axis=1, kind="stable")
+
+
+def lists_to_visit(sample: np.ndarray, words: np.ndarray, top: int) -> int:
+    """The fewest lists that hold PROBED of the sample's true neighbours of some of its rows."""
+    if len(sample) <= top + 1:
+        return len(words)
+    order = lists_by_distance(sample, words)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    visited = []
+    norms = (sample**2).sum(-1)
+    for i in range(min(PROBE_QUERIES, len(sample))):
+        distance = norms - 2 * sample @ sample[i]
+        distance[i] = np.inf
+        visited.append(place[i, order[np.argpartition(distance, top)[:top], 0]])
+    return int(np.quantile(np.concatenate(visited), PROBED, method="higher")) + 1
 
 
 def build_index(rows: DataFrame, books: np.ndarray, folder: str) -> DataFrame:
-    """Encode every row and write the index."""
+    """Encode every row and write the index: vec_id, embedding, list, codes, norm."""
+    schema = f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, list int, codes binary, norm float"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            x = _matrix(batch.column(1)).astype(np.float64)
+            x = _matrix(batch.column(1))
             codes = beam_encode(x, books)
             norm = (approximate(codes, books) ** 2).sum(-1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
-
-    return storage.written(rows.mapInArrow(encode, INDEX), f"{folder}/index")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, rerank: int = RERANK) -> DataFrame:
+            nearest_list = lists_by_distance(x, books[0])[:, 0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest_list), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "list", "codes", "norm"])
+
+    return storage.written(rows.mapInArrow(encode, schema), f"{folder}/index")
+
+
+class IndexBlock:
+    """Rows of one list, held while queries pass by."""
+
+    def __init__(self, parts: list[pa.RecordBatch], books: np.ndarray):
+        of = lambda name: [p.column(name) for p in parts]
+        self.books = books
+        self.ids = np.concatenate([c.to_numpy() for c in of("vec_id")])
+        self.x = np.concatenate([_matrix(c) for c in of("embedding")])
+        self.codes = np.frombuffer(b"".join(x for c in of("codes") for x in c.to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.norm = np.concatenate([c.to_numpy() for c in of("norm")]).astype(np.float64)
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, top: int, part: int) -> pa.RecordBatch:
+        """The nearest rows of the block to each query: by lookups, then exactly among the best."""
+        tables = np.einsum("qd,mkd->qmk", q, self.books)
+        depth = max(top, -(-len(self.ids) // part))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(len(q)):
+            score = self.norm - 2 * sum(tables[i, j][self.codes[:, j]] for j in range(len(self.books)))
+            score[self.ids == q_ids[i]] = np.inf
+            near = np.argpartition(score, depth - 1)[:depth] if depth < len(self.ids) else np.arange(len(self.ids))
+            near = near[self.ids[near] != q_ids[i]]
+            exact = np.sqrt(((self.x[near] - q[i]) ** 2).sum(-1))
+            best = np.lexsort((self.ids[near], exact))[:top]
+            out.append((np.full(len(best), q_ids[i]), self.ids[near][best], exact[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows with equal (list, block, is_query)."""
+    for batch in batches:
+        if len(batch):
+            key = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("list", "block", "is_query")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield tuple(key[:, a].tolist()), batch.slice(a, b - a)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, part: int = RERANK_PART) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest rows found for each query, by Euclidean distance."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     folder = storage.work_dir(spark, "additive")
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id", "embedding").limit(SAMPLE).collect()  # a top-k of fixed size
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
-        return none
-    books = fit_codebooks(np.array([r["embedding"] for r in sample]))
-    dimension = books.shape[2]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fitted = np.array([r["embedding"] for r in sample])
+    books = fit_codebooks(fitted)
+    visits = lists_to_visit(fitted, books[0], top)
     index = build_index(rows, books, folder)
-    asked = queries.select("vec_id").distinct()
-    query_rows = rows.join(asked, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_files = max(1, -(-query_rows.count() // QUERY_ROWS))
-    query_rows.repartition(n_files).write.parquet(f"{folder}/queries")
-    files = sorted(spark.read.parquet(f"{folder}/queries").inputFiles())
+    sizes = np.zeros(len(books[0]), np.int64)
+    for r in index.groupBy("list").count().collect():  # at most WORDS rows
+        sizes[r["list"]] = r["count"]
+    blocks = -(-sizes // BLOCK_ROWS)
+    of_list = F.element_at(F.lit(blocks.tolist()), F.col("list") + 1)
+    block = F.pmod(F.xxhash64("vec_id", "embedding"), of_list).cast("int").alias("block")
+    placed = index.select("list", block, F.lit(0).alias("is_query"), "vec_id", "embedding", "codes", "norm")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                order = lists_by_distance(_matrix(batch.column(1)), books[0])
+                # a query goes on until its lists hold enough rows that are not its own
+                enough = (np.cumsum(sizes[order], axis=1) < batch.column(2).to_numpy()[:, None] + top).sum(1) + 1
+                lists = [o[: max(visits, n)].astype(np.int32) for o, n in zip(order, enough, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
+
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    query_rows = rows.join(asked, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("own"))
+    of = query_rows.schema["embedding"].dataType.simpleString()
+    visiting = query_rows.mapInArrow(visit, f"vec_id long, embedding {of}, lists array<int>").select("vec_id", "embedding", F.explode("lists").alias("list"))
+    every_block = F.explode(F.sequence(F.lit(0), of_list.cast("int") - 1)).alias("block")
+    visiting = visiting.filter(of_list > 0).select("list", every_block, F.lit(1).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([p.column(0).to_numpy() for p in parts])
-            x = np.concatenate([_matrix(p.column(1)) for p in parts]).astype(np.float64)
-            codes = np.frombuffer(b"".join(c for p in parts for c in p.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            norm = np.concatenate([p.column(3).to_numpy() for p in parts]).astype(np.float64)
-            for file in files:
-                fs, path = storage.open_fs(file)
-                table = pq.read_table(path, filesystem=fs, columns=["vec_id", "embedding"])
-                for q_batch in table.to_batches(max_chunksize=QUERY_ROWS):
-                    if len(q_batch):
-                        yield from scored(ids, x, codes, norm, q_batch)
-
-        def scored(ids, x, codes, norm, q_batch) -> Iterator[pa.RecordBatch]:
-            q_ids, q = q_batch.column(0).to_numpy(), _matrix(q_batch.column(1)).astype(np.float64)
-            tables = np.einsum("qd,mkd->qmk", q, books)
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            depth = max(rerank, len(ids) // RERANK_PART)
-            for i in range(len(q)):
-                score = norm - 2 * sum(tables[i, j][codes[:, j]] for j in range(len(books)))
-                score[ids == q_ids[i]] = np.inf
-                near = np.argpartition(score, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
-                near = near[ids[near] != q_ids[i]]
-                exact = np.sqrt(((x[near] - q[i]) ** 2).sum(-1))
-                best = np.lexsort((ids[near], exact))[:top]
-                out.append((np.full(len(best), q_ids[i]), ids[near][best], exact[best]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-            if sum(map(len, held)) >= BLOCK_ROWS:
-                yield from block_of(held)
-                held = []
-        if held:
-            yield from block_of(held)
-
-    assert dimension > 0
-    found = index.select("vec_id", "embedding", "codes", "norm").mapInArrow(search, FOUND)
+        cell, block = None, None
+        for (of_list, number, is_query), rows_here in _cells(batches):
+            if (of_list, number) != cell:
+                cell, held, block = (of_list, number), [], None
+            if not is_query:
+                held.append(rows_here)
+                continue
+            if held and block is None:
+                block = IndexBlock(held, books)
+            for i in range(0, len(rows_here) if block is not None else 0, QUERY_ROWS):
+                some = rows_here.slice(i, QUERY_ROWS)
+                yield block.search(some.column("vec_id").to_numpy(), _matrix(some.column("embedding")), top, part)
+
+    dealt = placed.unionByName(visiting).repartition(max(1, int(blocks.sum())), "list", "block").sortWithinPartitions("list", "block", "is_query")
+    found = dealt.mapInArrow(search, FOUND)
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -52,3 +52,39 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in additive.nearest(df, df.filter("vec_id % 3 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 9), (9, 1, 1), (9, 2, 0), (9, 3, 0)]
     assert additive.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_clusters_need_few_lists_and_even_spread_most():
+    rng = np.random.default_rng(3)
+    centres = 6 * rng.normal(size=(32, 16))
+    clustered = centres[rng.integers(0, 32, 4000)] + rng.normal(size=(4000, 16))
+    even = rng.normal(size=(4000, 16))
+    visits = [additive.lists_to_visit(x, additive.fit_codebooks(x, m=1, k=64, rounds=0)[0], 10) for x in (clustered, even)]
+    assert visits[0] < 24 < visits[1]
+
+
+def test_recall_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(additive, "BLOCK_ROWS", 40)
+    x, df = table(spark, n=2500, d=24, seed=5)
+    got = {}
+    for parts in (1, 7):
+        rows = additive.nearest(df.repartition(parts), df.filter("vec_id % 50 = 0")).collect()
+        got[parts] = sorted((r.query_id, r.rank, r.vec_id) for r in rows)
+        hits = sum((i in {j for j, _ in brute(x, q, np.arange(2500))}) for q, _, i in got[parts])
+        assert len(rows) == 500 and hits / 500 >= 0.95
+    assert got[1] == got[7]
+
+
+def test_doubles_are_measured_as_doubles(spark):
+    rows = [(i, [1.0 + i * 1e-9, 1.0], "a", "b") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in additive.nearest(df, df.filter("vec_id = 10")).collect()}
+    assert got[10, 1][0] == 9 and got[10, 2][0] == 11 and abs(got[10, 1][1] - 1e-9) < 1e-15
+
+
+def test_every_query_gets_enough_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist(), "a", "b") for i in range(13)] + [(3, [0.5, 0.5, 0.5, 0.5], "a", "b")] * 40
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = additive.nearest(df, df).groupBy("query_id").count().collect()
+    assert len(got) == 13 and all(r["count"] == 10 for r in got)
