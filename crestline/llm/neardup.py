@@ -4,6 +4,7 @@ A document's set holds hashes of its runs of ``words`` words. Two permutations m
 signature: the first scatters the set over a circle of 2**32 places, the second, turned by k places, orders
 them for coordinate k; the coordinate is the smallest. ``BANDS`` bands of ``ROWS`` coordinates put equal
 sets into equal buckets and sets with similarity 0.8 into one bucket at least but for 3 pairs in a million.
+Links are decided on the whole sets, of 64-bit hashes.
 
 Documents with equal sets are one node. A bucket is worked off by centres: in each of ``CENTRES`` rounds the
 node that meets most others is tested on the full sets against all nodes of its bucket that are not yet
@@ -35,6 +36,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Rounds with one centre for each bucket.
 CENTRES = 3
+#: A bucket with more nodes is dealt out to several tasks, each of which gets its centre.
+SLOT_NODES = 256
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
@@ -173,7 +176,8 @@ def rare_hash_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def link_classes(members: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame | None:
-    """node, label of the nodes in ``members`` (key, node, n, weight), linked ones with one label."""
+    """node, label of the nodes in ``members`` (key, slot, slots, node, n, weight), linked ones with one label."""
+    every_slot = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
     labels: DataFrame | None = None
     links: DataFrame | None = None
     live = members
@@ -181,14 +185,14 @@ def link_classes(members: DataFrame, sets: DataFrame, folder: str, percent: int)
     for turn in range(CENTRES + 1):
         here = f"{folder}/round-{turn}"
         named = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = storage.written(named.select("key", "node", "n", "weight", "label"), f"{here}/named")
-        spread = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        open_members = storage.written(named.join(spread, "key"), f"{here}/open")
+        named = storage.written(named.select("key", "slot", "slots", "node", "n", "weight", "label"), f"{here}/named")
+        spread = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("slots").alias("slots")).filter("low <> high").select("key", every_slot)
+        open_members = storage.written(named.join(spread, ["key", "slot"]), f"{here}/open")
         if not open_members.limit(1).count():
             return labels
         if turn < CENTRES:
-            centres = open_members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "label")).alias("c"))
-            pairs = open_members.join(centres, "key").filter(f"label <> c.label AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            centres = open_members.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "label")).alias("c"), F.max("slots").alias("slots"))
+            pairs = open_members.join(centres.select("key", "c", every_slot), ["key", "slot"]).filter(f"label <> c.label AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
             pairs = rare_hash_pairs(open_members.select("node", "n", "label").distinct(), sets, percent)
         if tested is not None:
@@ -200,7 +204,7 @@ def link_classes(members: DataFrame, sets: DataFrame, folder: str, percent: int)
         if links.limit(1).count():
             labels = components(links, f"{here}/components").withColumnRenamed("v", "node")
         if turn < CENTRES:
-            live = open_members.select("key", "node", "n", "weight").join(centres.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti")
+            live = open_members.select("key", "slot", "slots", "node", "n", "weight").join(centres.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti")
     return labels
 
 
@@ -217,7 +221,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     members = storage.written(filed.join(shared, "key").select("key", "node", "n", "nodes"), f"{folder}/filed")
     # how many nodes a node meets in all its buckets: the origin of a group of copies meets most
     weights = members.groupBy("node").agg(F.sum("nodes").alias("weight"))
-    members = storage.written(members.join(weights, "node").select("key", "node", "n", "weight"), f"{folder}/members")
+    slots = F.ceil(F.col("nodes") / SLOT_NODES).cast("int")
+    slot = F.pmod(F.xxhash64("node"), slots).cast("int").alias("slot")
+    members = storage.written(members.join(weights, "node").select("key", slot, slots.alias("slots"), "node", "n", "weight"), f"{folder}/members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id"), "node")
     sets = storage.written(full_sets(docs, wanted, words), f"{folder}/sets")
     labels = link_classes(members, sets, folder, percent)
