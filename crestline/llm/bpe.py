@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import os
 import string
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bytes of stretches and ids in one generation of the memory; a worker has two. They bound memory, not results.
+#: Bytes of stretches and ids in one generation of a memory, of which there are two. They bound memory, not results.
 KEPT_BYTES = 32 << 20
 #: Longer stretches are encoded and not remembered.
 MAX_KEPT_CHARS = 48
@@ -30,8 +29,15 @@ MAX_KEPT_CHARS = 48
 
 #: ASCII characters that are neither letters, digits nor white space.
 PUNCTUATION = string.punctuation
-#: Letters below this character are letters in every version of Unicode that the libraries use.
-PLAIN = "\u0250"
+#: Words of letters below U+0250, which are letters in every version of Unicode that the libraries use.
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
 
 
 class Memory:
@@ -42,6 +48,11 @@ class Memory:
         self.old: dict[str, bytes] = {}
         self.size, self.limit = 0, limit
 
+    def age(self) -> None:
+        """Between steps: a full generation becomes the old one."""
+        if self.size >= self.limit:
+            self.young, self.old, self.size = {}, self.young, 0
+
     def get(self, stretch: str) -> bytes | None:
         if (v := self.young.get(stretch)) is None and (v := self.old.get(stretch)) is not None:
             self.put(stretch, v)
@@ -51,16 +62,15 @@ class Memory:
         values = list(map(self.young.get, stretches))
         if self.old:
             for i in [i for i, v in enumerate(values) if v is None]:
-                values[i] = self.get(stretches[i])
+                if (v := self.old.get(stretches[i])) is not None:
+                    self.put(stretches[i], v)
+                    values[i] = v
         return values
 
     def put(self, stretch: str, ids: bytes) -> None:
-        if len(stretch) > MAX_KEPT_CHARS:
-            return
-        self.size += sys.getsizeof(stretch) + sys.getsizeof(ids) + 104  # 104: its place in the dictionary
-        if self.size > self.limit:
-            self.young, self.old, self.size = {}, self.young, 0
-        self.young[stretch] = ids
+        if self.size < self.limit and len(stretch) <= MAX_KEPT_CHARS:
+            self.size += 4 * len(stretch) + len(ids) + 190  # 190: two objects and a place in the dictionary
+            self.young[stretch] = ids
 
 
 class CachedEncoder:
@@ -79,48 +89,54 @@ class CachedEncoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, piece: str) -> bytes:
-        """Ids of one piece of the pattern: its bytes as characters, straight to the merges."""
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        as_bytes = self.id_bytes
-        return b"".join([as_bytes[t.id] for t in self.model.tokenize(spelled)])
+    def _words(self, words: list[str], known: Memory, lead: str) -> np.ndarray:
+        """Ids of words of letters: the bytes of an unknown one go as characters straight to the merges."""
+        values = known.get_all(words)
+        tokenize, as_bytes, letters, put = self.model.tokenize, self.id_bytes, self.letters, known.put
+        spelled_lead = letters[ord(" ")] if lead else ""
+        for i in [i for i, v in enumerate(values) if v is None]:
+            p = words[i]
+            found = tokenize(spelled_lead + (p if p.isascii() else p.encode().decode("latin-1").translate(letters)))
+            values[i] = v = as_bytes[found[0].id] if len(found) == 1 else b"".join([as_bytes[t.id] for t in found])
+            put(p, v)
+        return _objects(values)
 
-    def _values(self, stretches: list[str], known: Memory, lead: str) -> list[bytes | None]:
+    def _values(self, stretches: pa.Array, known: Memory, lead: str) -> np.ndarray:
         """Ids of the stretches; None for one that may not be cut off at its ends."""
-        values = known.get_all(stretches)
+        out = np.empty(len(stretches), object)
+        stems = pc.utf8_rtrim(stretches, PUNCTUATION)
+        plain = pc.match_substring_regex(stems, LETTERS).to_numpy(zero_copy_only=False)
+        own = stems.filter(pa.array(plain)).dictionary_encode()
+        out[plain] = self._words(own.dictionary.to_pylist(), known, lead)[own.indices.to_numpy(zero_copy_only=False)]
+        after = (pc.binary_length(stretches).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)) * plain
+        at = np.flatnonzero(after)
+        for i, p, n in zip(at.tolist(), stretches.take(pa.array(at)).to_pylist(), after[at].tolist(), strict=True):
+            if (v := self.tail.get(run := p[-n:])) is None:
+                v = self._direct([run])[0]
+                self.tail.put(run, v)
+            out[i] += v
         rest: list[tuple[int, str]] = []
         broken: list[tuple[int, list[str]]] = []
-        for i in [i for i, v in enumerate(values) if v is None]:
-            p = stretches[i]
+        at = np.flatnonzero(~plain)
+        for i, p in zip(at.tolist(), stretches.take(pa.array(at)).to_pylist(), strict=True):
             if not p or p[0].isspace() or p[-1].isspace():
                 continue
             if "\n" in p:
                 broken.append((i, p.split("\n")))
-                continue
-            stem = p.rstrip(PUNCTUATION)
-            if not stem or max(stem) >= PLAIN or not stem.isalpha():
+            elif (v := known.get(p)) is not None:
+                out[i] = v
+            else:
                 rest.append((i, p))
-                continue
-            if (v := known.get(stem)) is None:
-                v = self._word(lead + stem)
-                known.put(stem, v)
-            if len(stem) < len(p):
-                run = p[len(stem) :]
-                if (after := self.tail.get(run)) is None:
-                    after = self._direct([run])[0]
-                    self.tail.put(run, after)
-                v += after
-            values[i] = v
         for (i, p), v in zip(rest, self._direct([lead + p for _, p in rest]) if rest else (), strict=True):
-            values[i] = v
+            out[i] = v
             known.put(p, v)
         if broken:
-            firsts = self._values([lines[0] for _, lines in broken], known, lead)
-            later = iter(self._values([x for _, lines in broken for x in lines[1:]], self.head, ""))
+            firsts = self._values(pa.array([lines[0] for _, lines in broken], pa.large_string()), known, lead)
+            later = iter(self._values(pa.array([x for _, lines in broken for x in lines[1:]], pa.large_string()), self.head, ""))
             for (i, lines), first in zip(broken, firsts, strict=True):
                 got = [first, *(next(later) for _ in lines[1:])]
-                values[i] = self.feed.join(got) if None not in got else None
-        return values
+                out[i] = self.feed.join(got) if not any(v is None for v in got) else None
+        return out
 
     def _whole(self, text: str) -> bytes:
         """A text with runs of white space: cut only where both sides of a space are closed."""
@@ -135,30 +151,29 @@ class CachedEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (strings without nulls), end to end, and where each text's begin."""
+        for memory in (self.inner, self.head, self.tail):
+            memory.age()
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         flat = cut.flatten().dictionary_encode()
-        index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        stretches = flat.dictionary.to_pylist()
+        stretches, index = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).copy()
         firsts, where = np.unique(index[offsets[:-1]], return_inverse=True)
         index[offsets[:-1]] = len(stretches) + where
-        values = self._values(stretches, self.inner, " ") + self._values([stretches[i] for i in firsts], self.head, "")
+        heads = stretches.take(pa.array(firsts))
+        values = np.concatenate([self._values(stretches, self.inner, " "), self._values(heads, self.head, "")])
         is_open = np.fromiter((v is None for v in values), bool, len(values))
-        empty = np.fromiter((not stretches[i] for i in firsts), bool, len(firsts))
+        empty = pc.equal(pc.binary_length(heads), 0).to_numpy(zero_copy_only=False)
         alone = np.diff(offsets) == 1  # an empty text is one empty stretch
         whole = np.logical_or.reduceat(is_open[index], offsets[:-1]) & ~(alone & empty[where])
         special = np.zeros(len(texts), bool)
         for token in self.special:
             special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         by_hand = np.flatnonzero(whole | special)
-        lengths = np.fromiter((0 if v is None else len(v) // 4 for v in values), np.int64, len(values))
-        starts = np.cumsum(lengths) - lengths
-        pool = np.frombuffer(b"".join([v for v in values if v is not None]), dtype="<u4")
-        each = lengths[index]
-        ends = np.cumsum(each)
-        ids = pool[np.arange(ends[-1]) - np.repeat(ends - each - starts[index], each)]
+        values[is_open] = b""
+        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values))[index]) // 4
+        ids = np.frombuffer(b"".join(values[index]), dtype="<u4")
         bounds = np.concatenate([[0], ends[offsets[1:] - 1]])
         if not len(by_hand):
             return ids, bounds

@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         _, _, loads, items = heapq.heappop(heap)
         _, _, loads_b, items_b = heapq.heappop(heap)
         over = len(loads) + len(loads_b) - k
-        if over > 0:  # the fullest windows of the one take the emptiest of the other
+        if len(loads_b) == 1 and len(loads) == k:  # one item goes into the emptiest window
+            load, own = loads.pop() + loads_b[0], items.pop() + items_b[0]
+            at = bisect_right(loads, -load, key=neg)
+            loads.insert(at, load)
+            items.insert(at, own)
+        elif over > 0:  # the fullest windows of the one take the emptiest of the other
             for at in range(len(loads_b) - 1, -1, -1):
                 if (to := k - 1 - at) < len(loads):
                     loads[to] += loads_b[at]
@@ -59,7 +66,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         else:  # each filled window of the one meets an empty one of the other
             loads += loads_b
             items += items_b
-        if over > 0 or loads[-len(loads_b) - 1] < loads_b[0]:
+        if len(loads_b) > 1 and (over > 0 or loads[-len(loads_b) - 1] < loads_b[0]) or over <= 0 and loads[-len(loads_b) - 1] < loads_b[0]:
             rank = sorted(range(len(loads)), key=loads.__getitem__, reverse=True)
             loads, items = [loads[i] for i in rank], [items[i] for i in rank]
         heapq.heappush(heap, (-(loads[0] - (loads[-1] if len(loads) == k else 0)), n, loads, items))

@@ -155,6 +155,10 @@ def unframe(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return doc_ids, ids
 
 
+#: Bytes of text that a writing task encodes at once.
+WRITE_BYTES = 8 << 20
+
+
 def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode every text and write record files in ascending order of id; returns the manifest.
 
@@ -171,7 +175,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, id_column
         out = index = None
         n_docs = n_tokens = at = 0
         for batch in batches:
-            for begin, end in bpe.text_steps(batch.column(1)):
+            for begin, end in bpe.text_steps(batch.column(1), WRITE_BYTES):
                 step = batch.slice(begin, end - begin)
                 if out is None:
                     fs, root = storage.open_fs(folder)
