@@ -102,7 +102,8 @@ ARMS = (
     Arm("volume_extended", ("volume_baseline", "size_dependent", "temporal_size_dependent")),
 )
 VOLUME_PROXY = "window_tweets"
-COUNT_LIKE = ("window_tweets", "unique_users")
+#: Names of features that grow with a topic's volume.
+COUNT_LIKE = ("window_tweets", "unique_users", "tweets_per_active_bin", "max_in_degree", "mean_in_degree", "max_out_degree", "max_core", "mean_core", "mean_component_size", "community_entropy")
 
 
 def arm_columns(arm: Arm, sets: dict[str, tuple[str, ...]] = FEATURE_SETS) -> list[str]:

@@ -39,13 +39,11 @@ def settled(rows: DataFrame) -> DataFrame:
 
 def dense_series(counts: DataFrame, n_bins: int) -> DataFrame:
     """topic, label, x (counts by bin), f (in the feature language), total; bins without posts have 0."""
-    grouped = counts.groupBy("topic", "label").agg(F.collect_list(F.struct("bin", "n_all", "n_feat")).alias("own"), F.sum("n_all").alias("total"))
-
-    def dense(field: str) -> Column:
-        known = F.map_from_entries(F.transform("own", lambda e: F.struct(e["bin"], e[field])))
-        return F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda b: F.coalesce(F.try_element_at(known, b), F.lit(0).cast("long")))
-
-    return settled(grouped.select("topic", "label", dense("n_all").alias("x"), dense("n_feat").alias("f"), "total"))
+    entry = lambda field: F.map_from_entries(F.collect_list(F.struct("bin", field))).alias(field)
+    # the maps are columns of an aggregation, so each is built once and not once for every bin
+    known = counts.groupBy("topic", "label").agg(entry("n_all"), entry("n_feat"), F.sum("n_all").alias("total"))
+    dense = lambda field: F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda b: F.coalesce(F.try_element_at(F.col(field), b), F.lit(0).cast("long")))
+    return settled(settled(known).select("topic", "label", dense("n_all").alias("x"), dense("n_feat").alias("f"), "total"))
 
 
 def smoothed(x: Column, k: int, n_bins: int) -> Column:
@@ -105,12 +103,12 @@ def units(judged: DataFrame, rules: Rules) -> DataFrame:
         "label",
         F.col("total").alias("total_band_tweets"),
         "peak_bin",
-        F.round(F.col("peak") / smooth_width(rules.smooth), 3).alias("peak_height_smoothed"),
+        F.bround(F.col("peak") / smooth_width(rules.smooth), 3).alias("peak_height_smoothed"),
         begin.alias("window_start_bin"),
         end.alias("window_end_bin"),
         n_feat.alias("n_window_tweets"),
         n_all.alias("n_window_tweets_all_langs"),
-        F.round(ratio(n_feat, n_all), 4).alias("feature_language_frac"),
+        F.bround(ratio(n_feat, n_all), 4).alias("feature_language_frac"),
     )
 
 
@@ -170,7 +168,7 @@ def unit_sweep(peaked: DataFrame, rules: Rules, sweep: Sweep) -> DataFrame:
     end = F.col("peak_bin") - F.col("lead")
     share = ratio(slice_sum(F.col("f"), end - F.col("window"), end), slice_sum(F.col("x"), end - F.col("window"), end))
     kept = rows.withColumn("kept", verdict(rules, True, **params) == "kept").withColumn("kept_all", verdict(rules, False, **params) == "kept")
-    kept = kept.withColumn("majority", F.when(F.col("kept"), F.round(share, 4) >= sweep.majority).otherwise(False))
+    kept = kept.withColumn("majority", F.when(F.col("kept"), F.bround(share, 4) >= sweep.majority).otherwise(False))
     count = lambda flag, label: F.count_if(F.col(flag) & (F.col("label") == label))
     return kept.groupBy("min_topic", "lead", "window").agg(
         count("kept", 1).alias("pos"),
@@ -199,6 +197,31 @@ def window_posts(posts: DataFrame, kept: DataFrame, language: str | None) -> Dat
     return dedup_posts(inside)
 
 
+def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row for each ``key``: the first in ``order``."""
+    rest = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first"))
+    return first.select(key, *[F.col(f"first.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def matched(rows: DataFrame, wanted: DataFrame, key: str = "topic") -> DataFrame:
+    """The rows whose key is ``wanted``; raises ValueError if some wanted key has no row."""
+    lost = [r[key] for r in wanted.select(key).join(rows.select(key), key, "left_anti").limit(10).collect()]
+    if lost:
+        raise ValueError(f"no rows for {lost}")
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
+def completed(kept: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``kept`` with the columns of ``parts`` by topic; a unit that a part lacks has zeros there and is reported in ``empty``."""
+    out = kept.withColumn("empty", F.lit(False))
+    for part in parts:
+        columns = [c for c in part.columns if c != "topic"]
+        out = out.join(part.withColumn("_has", F.lit(True)), "topic", "left").withColumn("empty", F.col("empty") | F.col("_has").isNull())
+        out = out.drop("_has").fillna(0, columns)
+    return out
+
+
 def nested_topics(peaked: DataFrame, rules: Rules, leads: tuple[int, ...]) -> DataFrame:
     """Topics that are kept at every lead."""
     all_kept = None
@@ -208,7 +231,7 @@ def nested_topics(peaked: DataFrame, rules: Rules, leads: tuple[int, ...]) -> Da
     return peaked.filter(all_kept).select("topic", "label")
 
 
-def topk_earliest(posts: DataFrame, k: int) -> DataFrame:
+def topk_earliest(posts: DataFrame, k: int = 150) -> DataFrame:
     """The first ``k`` posts of each topic, by time and id."""
     from pyspark.sql import Window
 

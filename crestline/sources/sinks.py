@@ -36,6 +36,19 @@ def extend_cache(spark: SparkSession, path: str, fresh: DataFrame, key: str = "k
     return spark.read.parquet(path)
 
 
+def write_units(units: DataFrame, path: str) -> None:
+    """Units as a table, replaced as a whole."""
+    units.write.mode("overwrite").parquet(path)
+
+
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    """Units as they were written; raises ValueError for a table that is none."""
+    rows = spark.read.parquet(path)
+    if lacking := {"topic", "label", "peak_bin", "window_start_bin", "window_end_bin"} - set(rows.columns):
+        raise ValueError(f"not a table of units, it lacks {sorted(lacking)}")
+    return rows
+
+
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
     rows = small_rows(df, limit)
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}"

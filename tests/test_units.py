@@ -7,16 +7,17 @@ from crestline.config import Rules, Sweep
 from crestline.operators import units
 
 RULES = Rules(n_bins=96, min_topic=10, min_window=1)
-CLEAN = {b: 3 for b in range(18, 36)} | {b: 2 for b in range(36, 48)} | {b: 12 for b in range(48, 51)} | {b: 1 for b in range(51, 72)}
-LEFT = {b: 15 for b in range(5)} | {b: 2 for b in range(5, 40)}
-RIGHT = {b: 2 for b in range(40, 80)} | {80 + i: 3 + i for i in range(16)}
-FLAT = {b: 1 for b in range(20, 40)} | {b: 10 for b in range(40, 90)}
+# one curve for each verdict: bins and their counts
+KEPT = {b: 1 + b % 2 for b in range(25, 58)} | {58: 9, 59: 11, 60: 9} | {b: 1 for b in range(61, 75)}
+EARLY = {0: 8, 1: 8, 2: 8} | {b: 1 for b in range(3, 30)} | {30: 10, 31: 10, 32: 10}
+LATE = {b: 1 for b in range(50, 88)} | {88: 6, 89: 12, 90: 6}
+PLATEAU = {b: 1 for b in range(25, 45)} | {b: 7 for b in range(45, 80)}
 
 
 @pytest.fixture(scope="module")
 def posts(spark):
     rows, n = [], 0
-    for topic, curve, label, lang in (("clean", CLEAN, 1, "es"), ("left", LEFT, 1, "es"), ("right", RIGHT, 0, "es"), ("flat", FLAT, 0, "es"), ("english", CLEAN, 1, "en"), ("tiny", {50: 3}, 0, "es")):
+    for topic, curve, label, lang in (("kept", KEPT, 1, "es"), ("early", EARLY, 1, "es"), ("late", LATE, 0, "es"), ("plateau", PLATEAU, 0, "es"), ("other", KEPT, 1, "en"), ("few", {61: 4}, 0, "es")):
         for b, k in curve.items():
             for _ in range(k):
                 n += 1
@@ -31,17 +32,17 @@ def judged(posts):
 
 
 def test_verdicts(judged):
-    assert {r.topic: r.reason for r in judged.collect()} == {"clean": "kept", "left": "left_censored", "right": "right_censored_no_tail", "flat": "right_censored_no_decay", "english": "window_too_sparse", "tiny": "too_small"}
+    assert {r.topic: r.reason for r in judged.collect()} == {"kept": "kept", "early": "left_censored", "late": "right_censored_no_tail", "plateau": "right_censored_no_decay", "other": "window_too_sparse", "few": "too_small"}
 
 
 def test_window_ends_before_the_peak(judged):
     (u,) = units.units(judged, RULES).collect()
     assert u.window_end_bin == u.peak_bin - RULES.lead < u.peak_bin and u.window_end_bin - u.window_start_bin == RULES.window and u.window_start_bin >= 0
-    assert u.n_window_tweets == sum(CLEAN.get(b, 0) for b in range(u.window_start_bin, u.window_end_bin))
+    assert u.n_window_tweets == sum(KEPT.get(b, 0) for b in range(u.window_start_bin, u.window_end_bin))
 
 
 def test_duplicates_count_once(posts, judged):
-    assert {r.topic: r.total for r in judged.collect()}["clean"] == sum(CLEAN.values())
+    assert {r.topic: r.total for r in judged.collect()}["kept"] == sum(KEPT.values())
     assert units.dedup_posts(posts).filter("ts = 5000").count() == 0
 
 
@@ -80,3 +81,36 @@ def test_leak_guard(spark):
 def test_rank_pick_spreads_evenly(spark):
     df = spark.range(21).select(F.lit(0).alias("label"), F.col("id").cast("string").alias("topic"), F.col("id").alias("total"))
     assert sorted(r["rank"] for r in units.rank_pick(df, "topic", "total", 5).collect()) == [0, 5, 10, 15, 20]
+
+
+def test_rounding_is_to_even(spark):
+    one = {20 + b: 1 for b in range(32)}
+    judged = spark.createDataFrame([("t", 0, 40, 96, 3, [0] * 10 + [32] + [0] * 85, [0] * 10 + [1] + [0] * 85, "kept")], "topic string, label int, peak_bin int, total long, peak long, x array<long>, f array<long>, reason string")
+    u = units.units(judged, Rules(lead=12, window=18)).first()
+    assert len(one) == 32 and u.n_window_tweets_all_langs == 32 and u.feature_language_frac == 0.0312  # 0.03125
+
+
+def test_first_of_each_and_matched(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "topic string, at int, v string")
+    assert sorted(map(tuple, units.first_of_each(rows, "topic", ["at"]).collect())) == [("a", 1, "y"), ("b", 5, "z")]
+    wanted = spark.createDataFrame([("b",)], "topic string")
+    assert [r.v for r in units.matched(rows, wanted).collect()] == ["z"]
+    with pytest.raises(ValueError, match="c"):
+        units.matched(rows, spark.createDataFrame([("b",), ("c",)], "topic string"))
+
+
+def test_units_without_posts_have_zeros_and_are_reported(spark):
+    kept = spark.createDataFrame([("a", 1), ("b", 0)], "topic string, label int")
+    part = spark.createDataFrame([("a", 3, 0.5)], "topic string, n long, share double")
+    assert sorted(map(tuple, units.completed(kept, [part]).select("topic", "n", "share", "empty").collect())) == [("a", 3, 0.5, False), ("b", 0, 0.0, True)]
+
+
+def test_units_table_comes_back(spark, judged, tmp_path):
+    from crestline.sources import sinks
+
+    found = units.units(judged, RULES)
+    sinks.write_units(found, str(tmp_path / "u"))
+    assert sorted(map(tuple, sinks.read_units(spark, str(tmp_path / "u")).collect())) == sorted(map(tuple, found.collect()))
+    found.select("topic").write.parquet(str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="peak_bin"):
+        sinks.read_units(spark, str(tmp_path / "v"))
