@@ -70,12 +70,12 @@ def binomial_tail(low: Column, n: Column) -> Column:
     return F.aggregate(F.when(low >= 1, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<long>")), start, step, lambda acc: acc["total"])
 
 
-def mcnemar(pairs: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Discordant counts and the exact p-value from rows (label, p_a, p_b)."""
+def mcnemar(pairs: DataFrame, cut: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Discordant counts and the exact p-value from rows (label, p_a, p_b), for each value of ``by``."""
     right = lambda c: (F.col(c) >= cut).cast("int") == F.col("label")
-    n = pairs.agg(F.count_if(right("p_a") & ~right("p_b")).alias("n10"), F.count_if(~right("p_a") & right("p_b")).alias("n01"))
+    n = pairs.groupBy(*by).agg(F.count_if(right("p_a") & ~right("p_b")).alias("n10"), F.count_if(~right("p_a") & right("p_b")).alias("n01"))
     total = F.col("n10") + F.col("n01")
-    return n.select("n10", "n01", F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(F.least("n10", "n01"), total))).alias("p_value"))
+    return n.select(*by, "n10", "n01", F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(F.least("n10", "n01"), total))).alias("p_value"))
 
 
 def bootstrap_ci(scores: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -131,7 +131,13 @@ def size_audit(features: DataFrame, columns: list[str], proxy: str, cut: float =
     dv, ds = F.col("rv") - F.col("mv"), F.col("rs") - F.col("ms")
     rho = back.groupBy("feature").agg(F.sum(dv * ds).alias("c"), F.sum(dv * dv).alias("v"), F.sum(ds * ds).alias("s"))
     value = ratio(F.col("c"), F.sqrt(F.col("v") * F.col("s")))
-    return rho.select("feature", value.alias("rho"), (F.abs(value) >= cut).alias("flagged"))
+    return rho.select("feature", value.alias("rho"), (F.abs(value) >= cut).alias("flagged")).orderBy(F.desc(F.abs("rho")), "feature")
+
+
+def audit_differences(audit: DataFrame, size_free: tuple[str, ...]) -> list[str]:
+    """Features that the audit flags although the settings call them size-free; the settings are at fault for each."""
+    flagged = {r["feature"] for r in audit.filter("flagged").select("feature").collect()}  # one row a feature
+    return sorted(flagged & set(size_free))
 
 
 def class_summary(long: DataFrame) -> DataFrame:
@@ -139,10 +145,20 @@ def class_summary(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.when(F.col("label") == 1, F.col("value"))).alias("mean_pos"), F.avg(F.when(F.col("label") == 0, F.col("value"))).alias("mean_neg"), ratio(F.count_if(F.col("value") == 0), F.count(F.lit(1))).alias("zero_frac"))
 
 
-def fold_assignment(rows: DataFrame, key: str, folds: int = 5, seed: str = "42") -> DataFrame:
-    """Adds ``fold``: rows of each label dealt out in order of a hash of their key."""
-    ordered = Window.partitionBy("label").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))), key)
-    return rows.withColumn("fold", ((F.row_number().over(ordered) - 1) % folds).cast("int"))
+def fold_assignment(rows: DataFrame, key: str, folds: int = 5, seed: str | Column = "42", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``fold``: rows of each label (and of each value of ``by``) dealt out in order of a hash of their key.
+
+    The hash's first digits make buckets; places within a bucket follow those of all buckets before it, so no
+    task sorts all rows of a label.
+    """
+    groups = [*by, "label"]
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.lit(seed) if isinstance(seed, str) else seed))).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 256 rows a group
+    before = sizes.select(*groups, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", key)))
+    placed = inside.join(before, [*groups, "_b"])
+    return placed.select(*rows.columns, ((F.col("_before") + F.col("_r") - 1) % folds).cast("int").alias("fold"))
 
 
 def residualise(rows: DataFrame, columns: list[str], proxy: str) -> DataFrame:

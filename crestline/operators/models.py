@@ -1,11 +1,14 @@
 """Gradient-boosted trees on histograms, grouped cross-validation of arms, and what is measured on them.
 
 Feature tables have a row for each unit. Every (arm, fold) is one task that fits on at most ``MAX_TRAIN``
-training rows, those with the smallest hash of their topic, and scores the fold's own rows.
+training rows, those with the smallest hash of their topic; all rows are scored where they lie.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,45 +105,110 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-raw))
 
 
-def take_volume_out(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each feature minus its line on the proxy (the last column), fitted on the training rows; the proxy goes."""
+def volume_line(train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base and slope of each feature's line on the proxy, which is the last column."""
     x = train[:, -1]
     slope = np.array([((x - x.mean()) * (c - c.mean())).sum() for c in train[:, :-1].T]) / max(((x - x.mean()) ** 2).sum(), 1e-300)
-    base = train[:, :-1].mean(0) - slope * x.mean()
-    return tuple(m[:, :-1] - base - np.outer(m[:, -1], slope) for m in (train, test))
+    return train[:, :-1].mean(0) - slope * x.mean(), slope
 
 
-def fit_predict(arm: Arm, train: np.ndarray, y: np.ndarray, test: np.ndarray, **settings) -> np.ndarray:
-    """Scores of test rows; an arm without features gives the share of positives, a single class itself."""
-    if train.shape[1] == 0 or len(np.unique(y)) < 2:
-        return np.full(len(test), y.mean() if len(y) else 0.5)
-    if arm.residualise:
-        train, test = take_volume_out(train, test)
-    return BoostedTrees(arm.model, **settings).fit(train, y).predict(test)
+def without_volume(rows: np.ndarray, base: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Each feature minus its line on the proxy; the proxy goes."""
+    return rows[:, :-1] - base - np.outer(rows[:, -1], slope)
 
 
 OOF = "arm string, topic string, label int, fold int, p double"
 
 
+def arm_features(matrix: DataFrame, arms: tuple[Arm, ...], sets: dict | None = None) -> dict[str, list[str]]:
+    """The columns of each arm; raises ValueError if the matrix lacks one of them."""
+    columns = {a.name: arm_columns(a, sets) if sets else arm_columns(a) for a in arms}
+    if lacking := sorted({c for own in columns.values() for c in own} - set(matrix.columns)):
+        raise ValueError(f"the matrix does not have: {lacking}")
+    return columns
+
+
+class Fitted:
+    """An arm's model for one fold, small enough to be sent to every task: its size is set by rounds and leaves."""
+
+    def __init__(self, arm: Arm, train: np.ndarray, y: np.ndarray, **settings):
+        self.share, self.model, self.line = float(y.mean()) if len(y) else 0.5, None, None
+        if train.shape[1] == 0 or len(np.unique(y)) < 2:
+            return  # an arm without features, or a single class
+        if arm.residualise:
+            self.line = volume_line(train)
+            train = without_volume(train, *self.line)
+        self.model = BoostedTrees(arm.model, **settings).fit(train, y)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        if self.model is None:
+            return np.full(len(x), self.share)
+        return self.model.predict(x if self.line is None else without_volume(x, *self.line))
+
+
 def oof_scores(matrix: DataFrame, arms: tuple[Arm, ...] = ARMS, folds: int = 5, seed: str = "42", sets: dict | None = None, **settings) -> DataFrame:
-    """Out-of-fold scores of each arm: arm, topic, label, fold, p. Columns that the matrix lacks are left out."""
-    by_name = {a.name: a for a in arms}
-    columns = {a.name: [c for c in (arm_columns(a, sets) if sets else arm_columns(a)) if c in matrix.columns] for a in arms}
+    """Out-of-fold scores of each arm: arm, topic, label, fold, p.
+
+    Models are fitted on a bounded sample, an (arm, fold) a task, and sent to the tasks that score all rows.
+    """
+    spark = matrix.sparkSession
+    by_name, columns = {a.name: a for a in arms}, arm_features(matrix, arms, sets)
     used = sorted({c for own in columns.values() for c in own})
+    rows = fold_assignment(matrix.select("topic", "label", *used), "topic", folds, seed)
+    # enough that each fold's training rows reach the bound, where there are as many
+    bound = MAX_TRAIN * folds // max(1, folds - 1) + 1
+    sample = rows.withColumn("h", F.xxhash64("topic", F.lit(seed))).orderBy("h", "topic").limit(bound)
     tasks = F.explode(F.array(*[F.struct(F.lit(a.name).alias("arm"), F.lit(f).alias("test")) for a in arms for f in range(folds)]))
-    rows = fold_assignment(matrix, "topic", folds, seed).select("topic", "label", "fold", *used, tasks.alias("t")).select("t.arm", "t.test", "topic", "label", "fold", *used)
-    # training rows beyond the bound are left out by hash; the fold's own rows are all scored
-    order = F.xxhash64("topic", F.lit(seed))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, test = pdf["arm"].iloc[0], int(pdf["test"].iloc[0])
+        rest = pdf[pdf["fold"] != test].nsmallest(MAX_TRAIN, "h").sort_values("topic")
+        model = Fitted(by_name[name], rest[columns[name]].to_numpy(float), rest["label"].to_numpy(), **settings)
+        return pd.DataFrame([(name, test, pickle.dumps(model))], columns=["arm", "test", "model"])
+
+    fitted = sample.select("*", tasks.alias("t")).select("t.arm", "t.test", "h", "topic", "label", "fold", *used).groupBy("arm", "test").applyInPandas(fit, "arm string, test int, model binary")
+    models = spark.sparkContext.broadcast({(r["arm"], r["test"]): bytes(r["model"]) for r in fitted.collect()})  # arms times folds
+
+    def score(frames):
+        known = {k: pickle.loads(m) for k, m in models.value.items()}
+        for pdf in frames:
+            for (name, test), model in known.items():
+                own = pdf[pdf["fold"] == test]
+                if len(own):
+                    p = model.predict(own[columns[name]].to_numpy(float))
+                    yield pd.DataFrame({"arm": name, "topic": own["topic"], "label": own["label"], "fold": own["fold"], "p": p})
+
+    return rows.mapInPandas(score, OOF)
+
+
+def replicated_scores(matrix: DataFrame, arm: Arm, folds: int, seeds: list[int], shuffled: bool = False, **settings) -> DataFrame:
+    """rep, label, p: out-of-fold scores of one arm for each of ``seeds``, which deal the folds anew.
+
+    With ``shuffled`` the folds stay and the labels are dealt anew, but for the first seed's. A replicate's fold
+    is a task, and the labels of a replicate are dealt in one.
+    """
+    from pyspark.sql import Window
+
+    columns = arm_features(matrix, (arm,))[arm.name]
+    reps = F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)]))
+    rows = matrix.select("topic", "label", *columns, reps.alias("r")).select("topic", "label", "r.rep", "r.seed", *columns)
+    if shuffled:
+        place = lambda salt: F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat("topic", F.lit(":"), salt)), "topic")).alias("at")
+        dealt = rows.select("rep", "label", place(F.when(F.col("rep") == 0, "").otherwise(F.col("seed").cast("string"))))
+        rows = rows.select("topic", "rep", *columns, place(F.lit(""))).join(dealt, ["rep", "at"]).drop("at")
+        folded = fold_assignment(rows, "topic", folds, str(seeds[0]), ("rep",))
+    else:
+        folded = fold_assignment(rows, "topic", folds, F.col("seed").cast("string"), ("rep",))
+    tests = F.explode(F.array(*[F.lit(f) for f in range(folds)])).alias("test")
 
     def of_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, test = pdf["arm"].iloc[0], pdf["test"].iloc[0]
+        test = pdf["test"].iloc[0]
         pdf = pdf.sort_values("topic")
-        own = pdf[pdf["fold"] == test]
-        rest = pdf[pdf["fold"] != test].nsmallest(MAX_TRAIN, "h").sort_values("topic")
-        p = fit_predict(by_name[name], rest[columns[name]].to_numpy(float), rest["label"].to_numpy(), own[columns[name]].to_numpy(float), **settings)
-        return pd.DataFrame({"arm": name, "topic": own["topic"], "label": own["label"], "fold": own["fold"], "p": p})
+        own, rest = pdf[pdf["fold"] == test], pdf[pdf["fold"] != test].head(MAX_TRAIN)
+        p = Fitted(arm, rest[columns].to_numpy(float), rest["label"].to_numpy(), **settings).predict(own[columns].to_numpy(float))
+        return pd.DataFrame({"rep": own["rep"], "label": own["label"], "p": p})
 
-    return rows.withColumn("h", order).groupBy("arm", "test").applyInPandas(of_task, OOF)
+    return folded.select("rep", "topic", "label", "fold", *columns, tests).groupBy("rep", "test").applyInPandas(of_task, "rep int, label int, p double")
 
 
 def permutation_importance(matrix: DataFrame, columns: list[str], repeats: int = 30, seed: int = 42, **settings) -> DataFrame:
@@ -166,15 +234,37 @@ def permutation_importance(matrix: DataFrame, columns: list[str], repeats: int =
     return rows.groupBy("feature").applyInPandas(of_feature, "feature string, importance double, spread double")
 
 
-def random_forest_scores(matrix: DataFrame, columns: list[str], trees: int = 120, seed: int = 42) -> DataFrame:
-    """Out-of-bag-free check model: a balanced random forest from Spark's own library, scored on its rows."""
+def top_importances(importance: DataFrame, n: int = 18) -> DataFrame:
+    """The features whose shuffling costs most."""
+    return importance.orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def _forest(rows: DataFrame, columns: list[str], trees: int, seed: int):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    shares = {r["label"]: r["count"] for r in matrix.groupBy("label").count().collect()}
+    shares = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two classes
     n = sum(shares.values())
     weight = F.coalesce(*[F.when(F.col("label") == k, F.lit(n / (len(shares) * c))) for k, c in shares.items()])
-    rows = VectorAssembler(inputCols=columns, outputCol="x").transform(matrix.withColumn("weight", weight))
-    model = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, seed=seed).fit(rows)
-    return model.transform(rows).select("topic", "label", vector_to_array("probability")[1].alias("p"))
+    assembler = VectorAssembler(inputCols=columns, outputCol="x")
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, seed=seed).fit(assembler.transform(rows.withColumn("weight", weight)))
+    return assembler, model
+
+
+def random_forest_scores(matrix: DataFrame, columns: list[str], folds: int = 5, trees: int = 120, seed: int = 42) -> DataFrame:
+    """Out-of-fold scores of a balanced random forest of Spark's library: topic, label, fold, p."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = fold_assignment(matrix, "topic", folds, str(seed)).select("topic", "label", "fold", *columns).cache()
+    parts = []
+    for fold in range(folds):
+        assembler, model = _forest(rows.filter(F.col("fold") != fold), columns, trees, seed)
+        parts.append(model.transform(assembler.transform(rows.filter(F.col("fold") == fold))).select("topic", "label", "fold", vector_to_array("probability")[1].alias("p")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def impurity_importance(matrix: DataFrame, columns: list[str], trees: int = 120, seed: int = 42) -> DataFrame:
+    """How much each feature takes off the impurity in a forest over all rows: feature, importance; they sum to one."""
+    _, model = _forest(matrix.select("topic", "label", *columns), columns, trees, seed)
+    found = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
+    return matrix.sparkSession.createDataFrame(found, "feature string, importance double")

@@ -75,6 +75,42 @@ def sentiment_features(keyed: DataFrame, cache: DataFrame, strong: float = STRON
     return scored.withColumn("sent_polarisation", 2 * F.least("sent_pos_frac", "sent_neg_frac"))
 
 
+def completed_sentiment(scored: DataFrame, topics: DataFrame) -> DataFrame:
+    """Every topic of ``topics``; one without scored texts has zeros."""
+    return topics.select("topic").join(scored, "topic", "left").fillna(0, [c for c in scored.columns if c != "topic"])
+
+
+#: Fixed value: what the valences' sum is set against, so that a few words do not reach the ends.
+COMPOUND_ALPHA = 15.0
+
+
+def lexicon_baseline(texts: DataFrame, lexicon: DataFrame, language: str = "en", strong: float = 0.5) -> DataFrame:
+    """topic, lex_mean, lex_var, lex_strong_frac, lex_n from rows (topic, lang, text) and a lexicon (word, valence).
+
+    A text's compound score is its valences' sum s over the root of s * s + COMPOUND_ALPHA. Only texts of
+    ``language`` are scored; a topic without any has zeros. A word that the lexicon has twice counts with its
+    least valence.
+    """
+    once = lexicon.groupBy(F.lower("word").alias("word")).agg(F.min("valence").cast("double").alias("valence"))
+    mine = texts.filter((F.col("lang") == language) & F.col("text").isNotNull() & (stripped(F.col("text")) != "")).select("topic", "text")
+    counted = mine.groupBy("topic", F.xxhash64("text").alias("key"), "text").agg(F.count(F.lit(1)).alias("times"))
+    words = counted.select("topic", "key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), 0)).alias("word"))
+    sums = words.join(once, "word").groupBy("topic", "key").agg(F.sum("valence").alias("s"))
+    s = F.coalesce("s", F.lit(0.0))
+    each = counted.select("topic", "key", "times").join(sums, ["topic", "key"], "left").select("topic", "times", (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias("c"))
+    n = F.sum("times")
+    mean = ratio(F.sum(F.col("times") * F.col("c")), n)
+    square = ratio(F.sum(F.col("times") * F.col("c") * F.col("c")), n)
+    found = each.groupBy("topic").agg(mean.alias("lex_mean"), F.greatest(square - mean * mean, F.lit(0.0)).alias("lex_var"), ratio(F.sum(F.when(F.abs("c") >= strong, F.col("times")).otherwise(0)), n).alias("lex_strong_frac"), n.alias("lex_n"))
+    return completed_sentiment(found, texts.select("topic").distinct())
+
+
+def lexicon_coverage(texts: DataFrame, language: str = "en") -> DataFrame:
+    """How many texts the lexicon can speak of at all: n_texts, n_language, share."""
+    n, own = F.count(F.lit(1)), F.count_if(F.col("lang") == language)
+    return texts.agg(n.alias("n_texts"), own.alias("n_language"), ratio(own, n).alias("share"))
+
+
 def lead_bins(kept: DataFrame, leads: tuple[int, ...], window: int) -> DataFrame:
     """topic, bin: the union of the windows before every lead, not below 0."""
     spans = F.array(*[F.struct(F.greatest(F.col("peak_bin") - lead - window, F.lit(0)).alias("a"), (F.col("peak_bin") - lead - 1).alias("b")) for lead in leads])
@@ -88,6 +124,14 @@ def texts_in_bins(posts: DataFrame, bins: DataFrame) -> DataFrame:
     return first.select("topic", "p.bin", "p.text").filter(F.col("text").isNotNull() & (stripped(F.col("text")) != ""))
 
 
+def window_language_mix(posts: DataFrame, kept: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The mix of all languages inside each unit's own window, each (id, topic) once; a unit without posts has zeros."""
+    inside = posts.join(kept.select("topic", "window_start_bin", "window_end_bin"), "topic").filter("bin >= window_start_bin AND bin < window_end_bin")
+    first = inside.groupBy("event_id", "topic", "label").agg(F.min_by("lang", "ts").alias("lang"))
+    mix = language_mix(first, languages)
+    return kept.select("topic", "label").join(mix.drop("label"), "topic", "left").fillna(0, [c for c in mix.columns if c not in ("topic", "label")])
+
+
 def language_mix(posts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """Shares of ``languages`` in each topic's posts, with the total and the number of distinct ones."""
     lang = F.coalesce("lang", F.lit("unk"))

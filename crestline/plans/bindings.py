@@ -58,23 +58,65 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "label", "a.arm", "a.p")
 
 
+def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the text of the document that has their id; most have none."""
+    texts_of = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text")
+    return read_events(spark, sf_dir).join(texts_of, "event_id")
+
+
+def sentiment_of(spark: SparkSession, sf_dir: str, units_kept: DataFrame, rules: config.Rules = RULES, language: str | None = LANG, scorer: sentiment.Scorer = sentiment.hash_scorer) -> DataFrame:
+    """Sentiment of each unit's window in the feature language; a unit without texts has zeros."""
+    bins = sentiment.lead_bins(units_kept, (rules.lead,), rules.window)
+    posts = post_texts(spark, sf_dir)
+    own = posts if language is None else posts.filter(F.col("lang") == language)
+    keyed = sentiment.topic_texts(sentiment.texts_in_bins(own, bins))
+    return sentiment.completed_sentiment(sentiment.sentiment_features(keyed, sentiment.score_cache(keyed, None, scorer)), units_kept)
+
+
+def unit_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment_of(spark, sf_dir, kept(spark, sf_dir))
+
+
+def window_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the five event types in each kept unit's window."""
+    return sentiment.window_language_mix(read_events(spark, sf_dir), kept(spark, sf_dir), ("click", "error", "purchase", "signup", "view"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joined matrix of what SQL expresses: units, volume, degrees, growth and shape."""
-    posts, units_kept = window_posts(spark, sf_dir), kept(spark, sf_dir)
-    shape = temporal.shape_features(windows(spark, sf_dir), RULES.window)
-    volume = network.window_volume(posts)
-    grown = network.growth(posts, units_kept, config.GROWTH_SLICES)
-    graph = network.degrees(posts)
-    return units_kept.select("topic", "label").join(volume, "topic").join(graph, "topic").join(grown, "topic").join(shape, "topic")
+    """The joined matrix of what SQL expresses: units, volume, degrees, growth and shape; a unit without posts has zeros."""
+    of_units = judged(spark, sf_dir).cache()  # a row for each topic, read by every part
+    units_kept = units.units(of_units, RULES)
+    posts = units.window_posts(with_previous(read_events(spark, sf_dir)), units_kept, LANG).cache()
+    shape = temporal.shape_features(temporal.windows_of(of_units, RULES.lead, RULES.window), RULES.window)
+    parts = [network.window_volume(posts), network.degrees(posts), network.growth(posts, units_kept, config.GROWTH_SLICES), shape]
+    return units.completed(units_kept.select("topic", "label"), parts).drop("empty")
+
+
+def matrix_of(spark: SparkSession, sf_dir: str, rules: config.Rules = RULES, language: str | None = LANG) -> DataFrame:
+    """Every feature set by topic, and feature_language_frac; raises ValueError unless columns and sets agree."""
+    of_units = units.verdicts(series(spark, sf_dir), rules).cache()
+    units_kept = units.units(of_units, rules)
+    posts = units.window_posts(with_previous(read_events(spark, sf_dir)), units_kept, language).cache()
+    spans = temporal.windows_of(of_units, rules.lead, rules.window)
+    parts = [
+        *(network.window_volume(posts), network.degrees(posts), network.growth(posts, units_kept, config.GROWTH_SLICES), temporal.shape_features(spans, rules.window)),
+        *(network.reciprocity(posts), network.clustering(posts), network.whole_graph_features(posts), temporal.arima_features(spans), sentiment_of(spark, sf_dir, units_kept, rules, language)),
+    ]
+    whole = units.completed(units_kept.select("topic", "label", "feature_language_frac"), parts).drop("empty")
+    given = [c for own in config.FEATURE_SETS.values() for c in own]
+    columns = ["topic", "label", *[c for c in whole.columns if c in given or c.startswith("meta_")]]
+    config.validate(columns)
+    return whole.select(*columns, "feature_language_frac")
 
 
 def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature set but sentiment, whose texts belong to other topics in these tables."""
-    posts = window_posts(spark, sf_dir)
-    joined = features(spark, sf_dir)
-    for more in (network.reciprocity(posts), network.clustering(posts), network.whole_graph_features(posts), temporal.arima_features(windows(spark, sf_dir))):
-        joined = joined.join(more, "topic")
-    return joined
+    return matrix_of(spark, sf_dir).drop("feature_language_frac")
+
+
+def empty_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic, label of kept units whose window has no text."""
+    scored = unit_sentiment(spark, sf_dir).filter("meta_sent_n = 0").select("topic")
+    return kept(spark, sf_dir).select("topic", "label").join(scored, "topic", "left_semi")
 
 
 #: Feature columns that the SQL checks cover.

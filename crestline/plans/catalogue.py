@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from crestline import config
 from crestline.functions import cleaning
-from crestline.operators import evaluation, models, network, sentiment, temporal, units
+from crestline.operators import evaluation, models, network, prototype, sentiment, temporal, units
 from crestline.plans import bindings as b
 from crestline.plans import studies
-from crestline.sources.posts import read_events
+from crestline.sources.posts import read_events, with_previous
 
 R = b.RULES
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,9 +67,9 @@ sums AS (SELECT p.topic, p.label, p.peak_bin, p.peak, sum(m.n_all) AS total, max
     coalesce(sum(m.n_feat) FILTER (m.bin >= p.peak_bin - {R.lead + R.window} AND m.bin < p.peak_bin - {R.lead}), 0) AS n_feat
   FROM peaks p JOIN smooth m ON m.topic = p.topic GROUP BY ALL)"""
 JUDGED = f"""{SUMS}, judged AS (SELECT *, {verdict_sql()} AS reason FROM sums)"""
-UNITS = f"""{JUDGED}, units AS (SELECT topic, label, CAST(total AS BIGINT) AS total_band_tweets, peak_bin, round(peak / 3.0, 3) AS peak_height_smoothed,
+UNITS = f"""{JUDGED}, units AS (SELECT topic, label, CAST(total AS BIGINT) AS total_band_tweets, peak_bin, round_even(peak / 3.0, 3) AS peak_height_smoothed,
     peak_bin - {R.lead + R.window} AS window_start_bin, peak_bin - {R.lead} AS window_end_bin, CAST(n_feat AS BIGINT) AS n_window_tweets, CAST(n_all AS BIGINT) AS n_window_tweets_all_langs,
-    CASE WHEN n_all = 0 THEN 0.0 ELSE round(n_feat / n_all, 4) END AS feature_language_frac FROM judged WHERE reason = 'kept')"""
+    CASE WHEN n_all = 0 THEN 0.0 ELSE round_even(n_feat / n_all, 4) END AS feature_language_frac FROM judged WHERE reason = 'kept')"""
 WPOSTS = f"""{UNITS},
 aimed AS (SELECT *, lag(author) OVER (PARTITION BY topic ORDER BY ts, event_id) AS before FROM posts),
 wposts AS (SELECT a.event_id, a.topic, a.bin, a.author, a.ts, CASE WHEN a.before <> a.author THEN a.before END AS target, u.window_start_bin, u.window_end_bin
@@ -158,12 +158,16 @@ SELECT event_id, bin, CASE WHEN bin IS NOT NULL THEN printf('%02d:%02d', CAST(6
 
 
 def _dedup(spark, sf):
+    """Every post and a copy of it an hour later, whose author is another: the first of the two stays."""
     posts = read_events(spark, sf)
-    later = posts.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    return units.dedup_posts(later.unionByName(posts)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts"))
+    later = posts.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("author", F.concat(F.lit("late "), "author"))
+    seconds = F.sum(F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.to_timestamp(F.lit(config.EVENTS_START))))
+    return units.dedup_posts(later.unionByName(posts)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), seconds.alias("seconds"), F.min("author").alias("first_author"), F.count_if(F.startswith("author", F.lit("late"))).alias("late"))
 
 
-_register("dedup_id_topic", lambda s, d: _dedup(s, d).select("topic", "n"), f"WITH {POSTS}, twice AS (SELECT * FROM posts UNION ALL SELECT * FROM posts) SELECT topic, count(*) AS n FROM (SELECT DISTINCT event_id, topic FROM twice) GROUP BY topic")
+_register("dedup_id_topic", _dedup, f"""WITH {POSTS}, twice AS (SELECT event_id, topic, ts, author FROM posts UNION ALL SELECT event_id, topic, ts + INTERVAL 1 HOUR, 'late ' || author FROM posts),
+firsts AS (SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY event_id, topic ORDER BY ts) = 1)
+SELECT topic, count(*) AS n, CAST(sum(floor(epoch(ts)) - epoch(TIMESTAMP '{config.EVENTS_START}')) AS BIGINT) AS seconds, min(author) AS first_author, count(*) FILTER (author LIKE 'late%') AS late FROM firsts GROUP BY topic""")
 _register("topic_bin_counts", b.counts, f"WITH {COUNTS} SELECT * FROM counts")
 _register("dense_series", lambda s, d: b.series(s, d).select("topic", "label", F.posexplode(F.arrays_zip("x", "f")).alias("bin", "e")).select("topic", "label", "bin", F.col("e.x").alias("n_all"), F.col("e.f").alias("n_feat")), f"WITH {DENSE} SELECT * FROM dense")
 _register("smoothed_series", lambda s, d: units.with_peaks(b.series(s, d), R).select("topic", F.posexplode("s").alias("bin", "s")), f"WITH {SMOOTH} SELECT topic, bin, s FROM smooth")
@@ -203,27 +207,27 @@ sums AS (SELECT g.*, p.topic, p.label, p.peak_bin, p.peak, sum(m.n_all) AS total
   FROM grid g CROSS JOIN peaks p JOIN smooth m ON m.topic = p.topic GROUP BY ALL),
 v AS (SELECT *, {verdict_sql("min_topic", "lead", "window_bins")} = 'kept' AS kept, {verdict_sql("min_topic", "lead", "window_bins", "n_all")} = 'kept' AS kept_all FROM sums)
 SELECT min_topic, lead, window_bins AS "window", count(*) FILTER (kept AND label = 1) AS pos, count(*) FILTER (kept AND label = 0) AS neg, count(*) FILTER (kept_all AND label = 1) AS pos_all, count(*) FILTER (kept_all AND label = 0) AS neg_all,
-  count(*) FILTER (kept_all AND label = 1) - count(*) FILTER (kept AND label = 1) AS lost, count(*) FILTER (kept AND label = 1 AND round(n_feat / n_all, 4) >= {S.majority}) AS majority_pos, count(*) FILTER (kept AND label = 0 AND round(n_feat / n_all, 4) >= {S.majority}) AS majority_neg
+  count(*) FILTER (kept_all AND label = 1) - count(*) FILTER (kept AND label = 1) AS lost, count(*) FILTER (kept AND label = 1 AND round_even(n_feat / n_all, 4) >= {S.majority}) AS majority_pos, count(*) FILTER (kept AND label = 0 AND round_even(n_feat / n_all, 4) >= {S.majority}) AS majority_neg
 FROM v GROUP BY ALL""")
 
 
 def _tags(spark, sf):
-    """Names of two pools that overlap: customers' segments by nation, and the brands of parts."""
+    """Names of two pools: the brands of all parts, and those that end in 1 or 2 as trending names."""
     part = b.table(spark, sf, "part")
-    trending = part.filter("p_size <= 20").select(cleaning.clean_topic(F.concat(F.lit("#"), F.col("p_brand"))).alias("topic"))
+    trending = part.filter("right(p_brand, 1) <= '2'").select(cleaning.clean_topic(F.concat(F.lit("#"), F.col("p_brand"))).alias("topic"))
     other = part.select("p_partkey", cleaning.clean_topic(F.concat("p_brand", F.lit(".csv"))).alias("topic"))
     return other, trending
 
 
-_register("leak_anti_join", lambda s, d: units.without_trending(*_tags(s, d)), "SELECT p_partkey, lower(p_brand) AS topic FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size <= 20)")
-_register("leak_excluded", lambda s, d: units.excluded_topics(*_tags(s, d)), "SELECT count(DISTINCT lower(p_brand)) AS n_excluded FROM part WHERE lower(p_brand) IN (SELECT lower(p_brand) FROM part WHERE p_size <= 20)")
+_register("leak_anti_join", lambda s, d: units.without_trending(*_tags(s, d)), "SELECT p_partkey, lower(p_brand) AS topic FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE right(p_brand, 1) <= '2')")
+_register("leak_excluded", lambda s, d: units.excluded_topics(*_tags(s, d)), "SELECT count(DISTINCT lower(p_brand)) AS n_excluded FROM part WHERE lower(p_brand) IN (SELECT lower(p_brand) FROM part WHERE right(p_brand, 1) <= '2')")
 _register("window_posts", lambda s, d: b.window_posts(s, d).select("event_id", "topic", "bin", "author", F.get("targets", F.lit(0)).alias("target")), f"WITH {WPOSTS} SELECT event_id, topic, bin, author, target FROM wposts")
 _LEADS = (4, 7, 14, 21)
 _register("nested_topics", lambda s, d: units.nested_topics(units.with_peaks(b.series(s, d), R), R, _LEADS), f"""WITH {PEAKS}, leads AS (SELECT unnest({list(_LEADS)}) AS lead),
 sums AS (SELECT l.lead, p.topic, p.label, p.peak_bin, p.peak, sum(m.n_all) AS total, max(m.s) FILTER (m.bin = 0) AS first_s, coalesce(sum(m.s) FILTER (m.bin BETWEEN p.peak_bin + 1 AND p.peak_bin + {R.tail}), 0) AS tail,
   coalesce(sum(m.n_feat) FILTER (m.bin >= p.peak_bin - l.lead - {R.window} AND m.bin < p.peak_bin - l.lead), 0) AS n_feat FROM leads l CROSS JOIN peaks p JOIN smooth m ON m.topic = p.topic GROUP BY ALL)
 SELECT topic, label FROM sums WHERE {verdict_sql(lead="lead")} = 'kept' GROUP BY topic, label HAVING count(*) = {len(_LEADS)}""")
-_register("topk_earliest", lambda s, d: units.topk_earliest(read_events(s, d), 10).select("topic", "event_id", "rank"), f"WITH {POSTS} SELECT topic, event_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY ts, event_id) AS INT) AS rank FROM posts QUALIFY rank <= 10")
+_register("topk_earliest", lambda s, d: units.topk_earliest(read_events(s, d)).select("topic", "event_id", "rank"), f"WITH {POSTS} SELECT topic, event_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY ts, event_id) AS INT) AS rank FROM posts QUALIFY rank <= 150")
 _register("rank_pick", lambda s, d: units.rank_pick(b.series(s, d), "topic", "total", 5), f"""WITH {COUNTS}, t AS (SELECT topic, label, CAST(sum(n_all) AS BIGINT) AS total FROM counts GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total DESC, topic) - 1 AS rank, count(*) OVER (PARTITION BY label) AS n FROM t)
 SELECT label, topic, total, CAST(rank AS INT) AS rank FROM r WHERE n <= 5 OR rank IN (SELECT CAST(floor(i * (n - 1) / 4) AS INT) FROM range(0, 5) g(i))""")
@@ -250,9 +254,9 @@ f AS (SELECT topic, 'n' AS kind, v AS key, min(s) AS s FROM (SELECT topic, autho
 c AS (SELECT topic, kind, count(*) FILTER (s <= 0) AS c0, count(*) AS c2, count(*) FILTER (s = 2) AS late FROM f GROUP BY ALL),
 p AS (SELECT t.topic, n.c0 AS n0, n.c2 AS n2, coalesce(e.c0, 0) AS e0, coalesce(e.c2, 0) AS e2, a.c0 AS a0, a.c2 AS a2, a.late FROM (SELECT DISTINCT topic FROM f) t LEFT JOIN c n ON n.topic = t.topic AND n.kind = 'n' LEFT JOIN c e ON e.topic = t.topic AND e.kind = 'e' LEFT JOIN c a ON a.topic = t.topic AND a.kind = 'a')
 SELECT topic, round((n2 - n0) / 2.0 / greatest(n2, 1), 6) AS node_growth_slope, round((e2 - e0) / 2.0 / greatest(e2, 1), 6) AS edge_growth_slope, round((a2 - a0) / 2.0 / greatest(a2, 1), 6) AS author_growth_slope, round(greatest(e2, 1) / greatest(n2, 1), 6) AS edge_node_ratio_final, round(late / greatest(n2, 1), 6) AS new_author_frac_last_slice FROM p""")
-_register("graph_kcore2", lambda s, d: network.whole_graph_features(b.window_posts(s, d)).select("topic", F.round("core2_frac", 6).alias("core2_frac"), "max_core"))
-_register("graph_centrality", lambda s, d: rounded(network.whole_graph_features(b.window_posts(s, d)).select("topic", "pagerank_gini", "max_pagerank", "max_betweenness", "mean_betweenness", "betweenness_gini", "meta_betweenness_exact")))
-_register("graph_communities", lambda s, d: rounded(network.whole_graph_features(b.window_posts(s, d)).select("topic", "n_communities", "modularity", "largest_community_frac", "community_entropy")))
+_register("graph_kcore2", lambda s, d: network.whole_graph_features(b.window_posts(s, d), ("cores",)).select("topic", F.round("core2_frac", 6).alias("core2_frac"), "max_core"))
+_register("graph_centrality", lambda s, d: rounded(network.whole_graph_features(b.window_posts(s, d), ("page_rank", "betweenness")).select("topic", "pagerank_gini", "max_pagerank", "max_betweenness", "mean_betweenness", "betweenness_gini", "meta_betweenness_exact")))
+_register("graph_communities", lambda s, d: rounded(network.whole_graph_features(b.window_posts(s, d), ("communities",)).select("topic", "n_communities", "modularity", "largest_community_frac", "community_entropy")))
 _register("shape_features", lambda s, d: rounded(temporal.shape_features(b.windows(s, d), R.window)), f"WITH {SHAPE} SELECT topic, {SHAPES} FROM shape")
 _register("arima_features", lambda s, d: rounded(temporal.arima_features(b.windows(s, d)), 4))
 _register("arima_order_grid", lambda s, d: rounded(temporal.order_summary(temporal.order_grid(b.windows(s, d))), 4))
@@ -326,21 +330,41 @@ SELECT l.topic, l.fold, l.feature, round(l.value - coalesce(k.i, k.m) - coalesce
 _register("share_histogram", lambda s, d: evaluation.share_histogram(b.table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.round(F.col("l_quantity") / 50, 6).alias("v")), "v"), "SELECT CAST(l_returnflag = 'R' AS INT) AS label, CAST(least(floor(round(l_quantity / 50, 6) * 25), 24) AS INT) AS bin, count(*) AS n FROM lineitem WHERE round(l_quantity / 50, 6) BETWEEN 0 AND 1 GROUP BY ALL")
 _register("bootstrap_ci", lambda s, d: rounded(evaluation.bootstrap_ci(b.table(s, d, "labels").select(F.lit("doc").alias("arm"), F.col("doc_id").alias("key"), F.col("quality").alias("label"), (F.col("doc_id") % 101 / 100.0).alias("p")))))
 
-# --- models: rows only
+_register("window_language_mix", lambda s, d: rounded(b.window_mix(s, d)), f"""WITH {UNITS}, w AS (SELECT p.topic, coalesce(p.lang, 'unk') AS lang FROM first_posts p JOIN units u ON u.topic = p.topic AND p.bin >= u.window_start_bin AND p.bin < u.window_end_bin)
+SELECT u.topic, u.label, count(w.lang) AS lang_total, count(DISTINCT w.lang) AS lang_n_distinct, {', '.join(f"round(coalesce(avg(CASE WHEN w.lang = '{x}' THEN 1.0 WHEN w.lang IS NOT NULL THEN 0.0 END), 0), 6) AS lang_{x}" for x in _LANGS)}
+FROM units u LEFT JOIN w ON w.topic = u.topic GROUP BY u.topic, u.label""")
+_register("unit_sentiment", lambda s, d: rounded(b.unit_sentiment(s, d).select("topic", "meta_sent_n", "sent_mean", "sent_var", "sent_neg_frac", "sent_pos_frac", "sent_strong_frac"), 5), f"""WITH {UNITS},
+t AS (SELECT p.topic, substr(sha1(d.text), 1, 16) AS key FROM first_posts p JOIN units u ON u.topic = p.topic AND p.bin >= greatest(u.window_start_bin, 0) AND p.bin < u.window_end_bin JOIN documents d ON d.doc_id = p.event_id WHERE p.lang = '{b.LANG}' AND trim(d.text, E' \\t\\n\\r\\x0b\\x0c') <> ''),
+v AS (SELECT topic, CAST('0x' || substr(key, 1, 4) AS BIGINT) + 1.0 AS a, CAST('0x' || substr(key, 5, 4) AS BIGINT) + 1.0 AS b, CAST('0x' || substr(key, 9, 4) AS BIGINT) + 1.0 AS c FROM t),
+r AS (SELECT topic, a / (a + b + c) AS neg, b / (a + b + c) AS neu, c / (a + b + c) AS pos FROM v)
+SELECT u.topic, count(r.neg) AS meta_sent_n, round(coalesce(avg(pos - neg), 0), 5) AS sent_mean, round(coalesce(var_pop(pos - neg), 0), 5) AS sent_var,
+  round(coalesce(avg(CASE WHEN neg >= neu AND neg >= pos THEN 1.0 WHEN neg IS NOT NULL THEN 0.0 END), 0), 5) AS sent_neg_frac,
+  round(coalesce(avg(CASE WHEN NOT (neg >= neu AND neg >= pos) AND NOT neu >= pos THEN 1.0 WHEN neg IS NOT NULL THEN 0.0 END), 0), 5) AS sent_pos_frac,
+  round(coalesce(avg(CASE WHEN abs(pos - neg) >= {sentiment.STRONG} THEN 1.0 WHEN neg IS NOT NULL THEN 0.0 END), 0), 5) AS sent_strong_frac
+FROM units u LEFT JOIN r ON r.topic = u.topic GROUP BY u.topic""")
 
-#: All arms but the two that add nothing but sentiment, whose columns these tables lack.
-_MODEL_ARMS = tuple(a for a in config.ARMS if a.name not in ("sentiment_only", "volume_plus_sentiment"))
-_register("gbt_oof", lambda s, d: rounded(models.oof_scores(b.full_matrix(s, d), _MODEL_ARMS)))
+# --- models: rows only, at the operators' defaults
 
 
-def _importance(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = b.full_matrix(spark, sf)
-    fusion = next(a for a in config.ARMS if a.name == "full_fusion")
-    return models.permutation_importance(matrix, [c for c in config.arm_columns(fusion) if c in matrix.columns])
+def _fusion() -> config.Arm:
+    return next(a for a in config.ARMS if a.name == "full_fusion")
 
 
-_register("permutation_importance", lambda s, d: rounded(_importance(s, d)))
+def _volume() -> config.Arm:
+    return next(a for a in config.ARMS if a.name == "volume_only")
+
+
+_register("gbt_oof", lambda s, d: rounded(models.oof_scores(b.full_matrix(s, d))))
+_register("ablation", lambda s, d: rounded(studies.ablation(b.full_matrix(s, d))))
+_register("permutation_importance", lambda s, d: rounded(models.permutation_importance(b.full_matrix(s, d), config.arm_columns(_fusion()))))
 _register("language_control", lambda s, d: rounded(studies.language_control(s, d)))
+_register("lead_time", lambda s, d: rounded(studies.lead_time(s, d)))
+_register("robustness", lambda s, d: rounded(studies.robustness(s, d)))
+_register("repeated_cv", lambda s, d: rounded(studies.repeated_cv(b.features(s, d), _volume())))
+_register("permutation_test", lambda s, d: rounded(studies.permutation_test(b.features(s, d), _volume())))
+_register("random_forest", lambda s, d: rounded(models.random_forest_scores(b.features(s, d), config.arm_columns(_volume()))))
+_register("impurity_importance", lambda s, d: rounded(models.impurity_importance(b.features(s, d), config.arm_columns(_volume()))))
+_register("early_features", lambda s, d: rounded(prototype.early_features(with_previous(read_events(s, d)))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

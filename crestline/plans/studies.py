@@ -19,18 +19,14 @@ from crestline.operators import evaluation, models, network, sentiment, temporal
 from crestline.plans import bindings as b
 from crestline.sources.posts import read_events, with_previous
 
-ARMS = tuple(a for a in config.ARMS if a.name in ("volume_only", "volume_plus_structure", "temporal_only"))
+ARMS = tuple(a for a in config.ARMS if a.name in ("volume_only", "volume_plus_structure", "structure_size_free", "full_fusion"))
 #: The fewest units, and the fewest of each class, that a setting is scored with.
-MIN_UNITS, MIN_CLASS = 8, 2
+MIN_UNITS, MIN_CLASS = 40, 12
 
 
 def matrix(spark: SparkSession, sf_dir: str, rules: Rules = b.RULES, language: str | None = b.LANG) -> DataFrame:
-    """Volume, graph growth and shape of the units that ``rules`` keep."""
-    judged = units.verdicts(b.series(spark, sf_dir), rules)
-    kept = units.units(judged, rules)
-    posts = units.window_posts(with_previous(read_events(spark, sf_dir)), kept, language)
-    parts = (network.window_volume(posts), network.degrees(posts), network.growth(posts, kept, config.GROWTH_SLICES), temporal.shape_features(temporal.windows_of(judged, rules.lead, rules.window), rules.window))
-    return reduce(lambda x, y: x.join(y, "topic"), parts, kept.select("topic", "label", "feature_language_frac"))
+    """All features of the units that ``rules`` keep, a unit without posts or texts with zeros."""
+    return b.matrix_of(spark, sf_dir, rules, language)
 
 
 def large_enough(rows: DataFrame, min_units: int = MIN_UNITS, min_class: int = MIN_CLASS) -> bool:
@@ -44,6 +40,22 @@ def evaluate(rows: DataFrame, arms: tuple[Arm, ...] = ARMS, seed: str = "42", **
     return evaluation.average_precision(scored).join(evaluation.roc_auc(scored), "arm")
 
 
+def arm_pairs(oof: DataFrame, base: str) -> DataFrame:
+    """Each arm's out-of-fold decisions against those of ``base``: arm, n10, n01, p_value."""
+    other = oof.filter(F.col("arm") != base).select("arm", "topic", "label", F.col("p").alias("p_a"))
+    joined = other.join(oof.filter(F.col("arm") == base).select("topic", F.col("p").alias("p_b")), "topic")
+    return evaluation.mcnemar(joined, by=("arm",))
+
+
+def ablation(rows: DataFrame, arms: tuple[Arm, ...] = config.ARMS, base: str = "volume_extended", **fit) -> DataFrame:
+    """The table of arms: scores, interval of average precision, and the test against ``base``."""
+    oof = models.oof_scores(rows, arms, **fit).cache()
+    scored = oof.select("arm", "label", "p")
+    intervals = evaluation.bootstrap_ci(oof.withColumn("key", F.col("topic"))).select("arm", "low", "high")
+    table = evaluation.average_precision(scored).join(evaluation.roc_auc(scored), "arm").join(intervals, "arm")
+    return table.join(arm_pairs(oof, base), "arm", "left")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -63,7 +75,7 @@ def sweep(spark: SparkSession, sf_dir: str, settings: dict[str, Rules], only: Da
     return spark.createDataFrame([], NONE) if found is None else found.select(*[c.split()[0] for c in NONE.split(", ")])
 
 
-def lead_time(spark: SparkSession, sf_dir: str, leads: tuple[int, ...] = (4, 7, 14), **fit) -> DataFrame:
+def lead_time(spark: SparkSession, sf_dir: str, leads: tuple[int, ...] = (4, 7, 14, 21), **fit) -> DataFrame:
     """Scores by lead, over each lead's own units and over those that every lead keeps."""
     settings = {f"lead_{lead}": replace(b.RULES, lead=lead) for lead in leads}
     same = units.nested_topics(units.with_peaks(b.series(spark, sf_dir), b.RULES), b.RULES, leads)
@@ -72,47 +84,63 @@ def lead_time(spark: SparkSession, sf_dir: str, leads: tuple[int, ...] = (4, 7,
 
 
 def robustness(spark: SparkSession, sf_dir: str, **fit) -> DataFrame:
-    """Scores with fewer or more posts asked for, and other window lengths."""
+    """Scores with fewer or more posts asked for, other window lengths, and other folds."""
     settings = {f"min_window_{m}": replace(b.RULES, min_window=m) for m in (1, 2, 3)} | {f"window_{w}": replace(b.RULES, window=w) for w in (12, 16, 20)}
-    return sweep(spark, sf_dir, settings, **fit)
+    found = sweep(spark, sf_dir, settings, **fit)
+    rows = matrix(spark, sf_dir)
+    if not large_enough(rows):
+        return found
+    dealt = [evaluate(rows, seed=str(42 + offset), **fit).withColumn("setting", F.lit(f"folds_{offset}")) for offset in (3, 4, 5)]
+    return reduce(DataFrame.unionByName, [found, *[d.select(*found.columns) for d in dealt]])
 
 
-def common_support(rows: DataFrame, low: float = 0.1, high: float = 0.5) -> DataFrame:
-    """Units whose share of the feature language lies in [low, high)."""
+def common_support(rows: DataFrame, low: float = 0.5, high: float = 0.99) -> DataFrame:
+    """Units whose share of the feature language lies in [low, high): where both classes can be found."""
     return rows.filter((F.col("feature_language_frac") >= low) & (F.col("feature_language_frac") < high))
 
 
-def language_control(spark: SparkSession, sf_dir: str, majority: float = 0.2, leak: float = 0.70, **fit) -> DataFrame:
-    """Whether language alone tells the classes (A), and whether the features tell the language (B): test, roc_auc, leaks."""
-    rows = matrix(spark, sf_dir)
-    mix = sentiment.language_mix(read_events(spark, sf_dir).join(rows.select("topic"), "topic", "left_semi"), ("click", "error", "purchase", "signup", "view"))
-    alone = {"language": ("lang_click", "lang_error", "lang_purchase", "lang_signup", "lang_view", "lang_n_distinct")}
-    a = models.oof_scores(mix, (Arm("A", ("language",)),), sets=alone, **fit)
-    turned = rows.withColumn("label", (F.col("feature_language_frac") >= majority).cast("int"))
-    features = {"features": tuple(config.FEATURE_SETS["volume_baseline"]) + ("peakedness", "density")}
-    c = models.oof_scores(turned, (Arm("B", ("features",)),), sets=features, **fit)
-    scored = a.unionByName(c)
-    both = scored.groupBy("arm").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).filter("pos > 0 AND pos < n").select("arm")
-    auc = evaluation.roc_auc(scored.join(both, "arm", "left_semi").select("arm", "label", "p"))
-    return auc.select(F.col("arm").alias("test"), "roc_auc", (F.col("roc_auc") >= leak).alias("leaks"))
-
-
-def repeated_cv(rows: DataFrame, arm: Arm, repeats: int = 8, **fit) -> DataFrame:
-    """Mean and spread of the scores over differently dealt folds."""
-    runs = _union([evaluate(rows, (arm,), seed=str(42 + r), **fit).withColumn("repeat", F.lit(r)) for r in range(repeats)])
-    return runs.groupBy("arm").agg(F.count(F.lit(1)).alias("repeats"), *[f(c).alias(f"{n}_{c}") for c in ("pr_auc", "roc_auc") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-
-
-def permutation_test(rows: DataFrame, arm: Arm, shuffles: int = 100, **fit) -> DataFrame:
-    """Share of label shuffles that score as well as the real labels: pr_auc, p_value."""
-    from pyspark.sql import Window
-
-    def dealt(seed: int) -> DataFrame:
-        place = lambda s: F.row_number().over(Window.orderBy(F.md5(F.concat("topic", F.lit(f":{s}"))), "topic"))
-        labels = rows.select("label", place(seed).alias("at"))
-        return rows.drop("label").withColumn("at", place(0)).join(labels, "at").drop("at")
-
-    score = lambda df: evaluate(df, (arm,), **fit).select("pr_auc")
-    real = score(rows).first()["pr_auc"]
-    shuffled = _union([score(dealt(s)) for s in range(1, shuffles + 1)])
-    return shuffled.agg(F.lit(real).alias("pr_auc"), ratio(F.count_if(F.col("pr_auc") >= real) + 1, F.count(F.lit(1)) + 1).alias("p_value"))
+CONTROL = "test string, arm string, roc_auc double, leaks boolean, n long"
+LANGUAGES = ("click", "error", "purchase", "signup", "view")
+
+
+def language_control(spark: SparkSession, sf_dir: str, majority: float = 0.2, leak: float = 0.70, mono: float = 0.25, min_class: int = MIN_CLASS, **fit) -> DataFrame:
+    """Three questions about language: test, arm, roc_auc, leaks, n.
+
+    A: does the language mix of the windows alone tell the classes? B: do an arm's features tell whether the
+    feature language has the majority share? C: how do the arms do inside units of nearly one language? A class
+    without enough units is not scored and has no row. The shares are those of the test tables' five languages.
+    """
+    rows = matrix(spark, sf_dir).cache()
+    units_kept = b.kept(spark, sf_dir)
+    mix = units.matched(sentiment.window_language_mix(read_events(spark, sf_dir), units_kept, LANGUAGES), rows)
+    alone = {"language": (*(f"lang_{x}" for x in LANGUAGES), "lang_n_distinct")}
+    share = F.col("feature_language_frac")
+    turned = rows.withColumn("label", (share >= majority).cast("int"))
+    parts = [("A", mix, (Arm("language", ("language",)),), alone), ("B", turned, ARMS, None), ("C", rows.filter(share >= mono), ARMS, None)]
+    found = []
+    for test, own, arms, sets in parts:
+        if large_enough(own, 2 * min_class, min_class):
+            scored = models.oof_scores(own, arms, sets=sets, **fit).select("arm", "label", "p")
+            sizes = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
+            found.append(evaluation.roc_auc(scored).join(sizes, "arm").withColumn("test", F.lit(test)).withColumn("leaks", (F.col("test") == "B") & (F.col("roc_auc") >= leak)))
+    out = _union(found)
+    return spark.createDataFrame([], CONTROL) if out is None else out.select(*[c.split()[0] for c in CONTROL.split(", ")])
+
+
+def repeated_cv(rows: DataFrame, arm: Arm, repeats: int = 8, folds: int = 5, **fit) -> DataFrame:
+    """Mean and spread of the scores over differently dealt folds: metric, mean, spread, repeats."""
+    scored = models.replicated_scores(rows, arm, folds, [42 + r for r in range(repeats)], **fit).withColumn("arm", F.col("rep").cast("string")).select("arm", "label", "p")
+    f1 = evaluation.threshold_metrics(scored).select("arm", "f1")
+    each = evaluation.average_precision(scored).select("arm", "pr_auc").join(evaluation.roc_auc(scored).select("arm", "roc_auc"), "arm").join(f1, "arm")
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("pr_auc", "roc_auc", "f1")])).alias("m")).select("m.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"), F.count(F.lit(1)).alias("repeats"))
+
+
+def permutation_test(rows: DataFrame, arm: Arm, shuffles: int = 100, folds: int = 5, **fit) -> DataFrame:
+    """How many dealings of the labels score as well as the real one: pr_auc, n_as_good, p_value."""
+    scored = models.replicated_scores(rows, arm, folds, [42 + r for r in range(shuffles + 1)], shuffled=True, **fit).withColumn("arm", F.col("rep").cast("string"))
+    each = evaluation.average_precision(scored.select("arm", "label", "p"))
+    real = F.max(F.when(F.col("arm") == "0", F.col("pr_auc")))
+    both = each.agg(real.alias("pr_auc"), F.collect_list(F.when(F.col("arm") != "0", F.col("pr_auc"))).alias("dealt"))  # a score for each shuffle
+    good = F.size(F.filter("dealt", lambda x: x >= F.col("pr_auc")))
+    return both.select("pr_auc", good.alias("n_as_good"), ratio(good + 1, F.size("dealt") + 1).alias("p_value"))

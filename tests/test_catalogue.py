@@ -10,7 +10,7 @@ from crestline.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("clean_topic", "units", "attrition", "censor_validation", "unit_sweep", "window_posts", "graph_clustering", "sent_aggregate", "avg_precision", "roc_auc", "mcnemar")
+CHECKED = ("clean_topic", "dedup_id_topic", "leak_anti_join", "leak_excluded", "window_language_mix", "unit_sentiment", "feature_matrix", "graph_components", "fold_assignment", "units", "attrition", "censor_validation", "unit_sweep", "window_posts", "graph_clustering", "sent_aggregate", "avg_precision", "roc_auc", "mcnemar")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -55,16 +55,27 @@ def test_model_queries_run_at_the_operators_defaults(monkeypatch):
         return f
 
     monkeypatch.setattr(catalogue, "rounded", lambda df: df)
-    monkeypatch.setattr(catalogue.b, "full_matrix", lambda s, d: SimpleNamespace(columns=[c for k, own in config.FEATURE_SETS.items() if k != "sentiment" for c in own]))
+    monkeypatch.setattr(catalogue.b, "full_matrix", lambda s, d: SimpleNamespace(columns=[c for own in config.FEATURE_SETS.values() for c in own]))
     for module, name in ((catalogue.models, "oof_scores"), (catalogue.models, "permutation_importance"), (catalogue.studies, "language_control")):
         monkeypatch.setattr(module, name, noted(name))
     for query in ("gbt_oof", "permutation_importance", "language_control"):
         catalogue.queries()[query](None, DATA)
-    assert [a.name for a in seen["oof_scores"][0][0]] == [a.name for a in config.ARMS if a.name not in ("sentiment_only", "volume_plus_sentiment")]
+    assert seen["oof_scores"][0] == ()  # all arms
     (columns,) = seen["permutation_importance"][0]
-    assert columns == [c for k in ("volume_baseline", "structure_size_free", "temporal") for c in config.FEATURE_SETS[k]]
+    assert columns == [c for k in ("volume_baseline", "structure_size_free", "sentiment", "temporal") for c in config.FEATURE_SETS[k]]
     assert all(settings == {} for _, settings in seen.values()) and seen["language_control"][0] == (DATA,)
 
 
+def test_the_leak_guard_lets_some_through(spark):
+    assert catalogue.queries()["leak_anti_join"](spark, DATA).count() > 0 and catalogue.queries()["leak_excluded"](spark, DATA).first()["n_excluded"] > 0
+
+
+def test_the_full_matrix_has_every_set(spark):
+    from crestline import config
+
+    rows = catalogue.b.full_matrix(spark, DATA)
+    assert rows.count() == 4 and set(c for own in config.FEATURE_SETS.values() for c in own) <= set(rows.columns)
+
+
 def test_bootstrap_ci_uses_all_resamples(spark):
     assert catalogue.queries()["bootstrap_ci"](spark, DATA).first()["n_used"] == 1000
