@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         of_linked = linked.join(least, "label").select("node", "component_id")
         joined = of_linked.unionByName(named.filter("copies > 1").join(labels, "node", "left_anti").select("node", F.col("first_id").alias("component_id")))
     joined = storage.written(joined, f"{folder}/components")
+    for name in ("classes", "filed", "members", "sets", *(f"round-{turn}" for turn in range(CENTRES + 1))):
+        storage.drop_dir(spark, f"{folder}/{name}")
     out = signed.select("doc_id", "n", "node").join(joined, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -16,6 +16,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+#: Work folders in the order in which they were named.
+made: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -33,7 +35,8 @@ def shared_base(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared base."""
-    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -48,6 +51,13 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Remove the work folders named after the first ``mark``, once nothing reads them any more."""
+    for path in made[mark:]:
+        drop_dir(spark, path)
+    del made[mark:]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that nothing refers to any more."""
     gc.collect()
@@ -59,6 +69,22 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def put(folder: str, stem: str, data: bytes) -> str:
+    """Write a file of this attempt's own and return its name for ``get``."""
+    fs, root = open_fs(folder)
+    fs.create_dir(root, recursive=True)
+    name = unique_name(stem)
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+        out.write(data)
+    return f"{folder}/{name}"
+
+
+def get(uri: str) -> bytes:
+    fs, path = open_fs(uri)
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def unique_name(stem: str) -> str:
     """A file name that no other attempt of the same task uses."""
     return f"{stem}-{uuid.uuid4().hex}"

@@ -64,6 +64,32 @@ def test_stages(spark, folder, tmp_path):
     assert run.agg({"length": "sum"}).first()[0] == packed.agg({"length": "sum"}).first()[0]
 
 
+def test_extra_columns_and_repeated_ids(spark, folder, tmp_path):
+    at, texts = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    twice = docs.unionByName(docs.filter("doc_id IN (1, 202)"))
+    names = ("gone", "gone_id", "node", "kept", "label", "quality", "anomaly", "file")
+    twice = twice.selectExpr("*", *[f"cast(doc_id AS string) AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, twice, at).write.parquet(f"{tmp_path}/{name}")
+        twice = spark.read.parquet(f"{tmp_path}/{name}")
+        assert twice.columns == [*docs.columns, *names]
+    rows = twice.collect()
+    assert all(r.gone == r.gone_id == r.file == str(r.doc_id) for r in rows)
+    assert sum(r.doc_id == 1 for r in rows) == sum(r.doc_id == 202 for r in rows) == 2  # a repeated id is no copy of itself
+    assert corpus_pipeline.STAGES[-1][1](spark, twice, at).count() > 0
+
+
+def test_run_leaves_only_its_result(spark, folder):
+    from crestline.llm import storage
+
+    at, _ = folder
+    mark = len(storage.made)
+    out = corpus_pipeline.run(spark, at)
+    assert out.count() > 0 and len(storage.made) == mark + len(corpus_pipeline.STAGES)
+    assert [storage.open_fs(p)[0].get_file_info(storage.open_fs(p)[1]).type.name for p in storage.made[mark:]] == ["NotFound"] * 3 + ["Directory"]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
