@@ -42,9 +42,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
+    """All stages over the whole of ``documents``; what a stage leaves is removed when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = storage.work_dir(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
-        docs = storage.written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        folder = storage.work_dir(spark, f"pipeline-{name}")
+        mark = len(storage.made)
+        docs = storage.written(stage(spark, docs, sf_dir), folder)
+        storage.drop_since(spark, mark)
+        if before is not None:
+            storage.drop_dir(spark, before)
+        storage.release(spark)
+        before = folder
     return docs
