@@ -12,14 +12,15 @@ from crestline import config
 from crestline.functions.cleaning import bin_of_timestamp
 
 
-def read_pool(spark: SparkSession, path: str, header: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def read_pool(spark: SparkSession, path: str, header: Sequence[str], columns: Sequence[str], multiline: bool = True) -> DataFrame:
     """Columns of a raw CSV pool by name, all strings.
 
     Lines with too many fields are dropped; those with too few have nulls at the end. ``header`` is the
-    file's whole header, in order.
+    file's whole header, in order. A file whose cells hold line feeds is read by one task; where none do,
+    ``multiline`` can be false, and a file is split over tasks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField("_broken", T.StringType())])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
+    raw = spark.read.schema(schema).csv(path, header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
     # both kinds of broken line are reported; a short one leaves its last column null
     too_long = F.col("_broken").isNotNull() & F.col(f"`{header[-1]}`").isNotNull()
     return raw.filter(~too_long).select([F.col(f"`{c}`") for c in columns])
