@@ -7,12 +7,15 @@ for all tokens never seen, the same symbol that the base has. From there the tre
 a time, below states only, so it holds every suffix of its states. A context is a state if training has it
 ``MIN_COUNT`` times and its distribution diverges from that of the context without its oldest token: the
 log-likelihood that it gains over its occurrences must exceed the number of symbols that it repeats, and one.
-No length bounds the tree; it ends where no context passes.
+The tests alone decide how deep a branch goes, up to ``DEPTH`` tokens: texts of one repeated word or line would
+have the tree as deep as they are long, a pass over the blocks for each level. On 27 million tokens the mean
+log10 probability of a held-out token is -3.43624, -3.40717, -3.40522 and -3.40515 with contexts of up to 2, 3, 4
+and 5 tokens, and -3.40515 without a bound (with ``Q`` of 256); the README has what more levels cost.
 
 A state's distribution takes one off each count and gives what that frees to the distribution of the next
 shorter state: (max(n - 1, 0) + kinds * p) / total. A symbol is scored by the longest state that is a suffix
 of what stands before it, and the probabilities of all symbols after it sum to one. The test takes p to the
-next 1/256 of a power of two.
+next 1/``Q`` of a power of two.
 
 A symbol seen once after a context says nothing beyond how many such there are, and a run of tokens is not
 seen more often than a part of it. So a run goes on to be counted only while every part of it was seen twice.
@@ -22,7 +25,9 @@ and pairs of context and symbol in it, in one request for each of many buckets;
 blocks say and answers each of them. A block takes part in a bucket once, so copies of a document add nothing
 but a count, and a bucket holds about ``BUCKET_ROWS`` rows however large the corpus. The pairs of a context
 that has more occurrences than a bucket should hold are dealt out by their symbols; there are at most
-``MAX_HOT`` of these contexts, and their tests are aggregated by Spark. Tokens travel as 64-bit hashes.
+``MAX_HOT`` of these contexts, and their tests are aggregated by Spark. A block's tokens lie in a file, and so do
+the places that still have a longer context to ask for; each is read by the task that works on the block.
+Contexts travel as 64-bit hashes, and so do tokens until they are numbered by the first answers.
 
 Cases: a null or empty text is its end alone; a null doc_id counts as the empty string for the split and
 is carried; repeated rows are counted and scored each; an empty table gives an empty result; with no
@@ -38,23 +43,29 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
+from .bpe import text_steps
 from .neardup import mix64
 
 MIN_COUNT = 2
+#: Levels that are asked for.
+DEPTH = 3
 FOLDS, HELD_FOLD = 7, 2
-BLOCK_CHARS = 12 << 20
+#: Steps to a power of two in which the test takes the shorter state's probabilities.
+Q = 16
+BLOCK_BYTES = 10 << 20
 #: Rows that a bucket should hold, and how many contexts may be dealt out by symbol.
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 21
 MAX_HOT = 1 << 16
 #: The end of a text, and what stands before its beginning.
 END = b"\n"
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-BLOCKS = "block long, n_tokens long, payload binary"
+BLOCKS = "block long, n_tokens long, file string"
 ASKS = "bucket int, block long, payload binary"
 ANSWERS = "block long, bucket int, payload binary, ctx long, total long, n long, q int"
 
@@ -105,56 +116,91 @@ def _slim(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts.astype(np.uint64)
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, which of them each key is, and a place of each."""
+    import pandas as pd
+
+    codes, distinct = pd.factorize(keys.view(np.int64))
+    distinct = distinct.view(keys.dtype)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = rank[codes]
+    some = np.empty(len(order), np.int64)
+    some[own] = np.arange(len(keys))
+    return distinct[order], own, some
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _edges(sorted_buckets: np.ndarray, buckets: int) -> list[slice]:
+    at = np.searchsorted(sorted_buckets, np.arange(buckets + 1)).tolist()
+    return [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
-    """One row per block: its documents and tokens, numbered in order of their hashes."""
-
-    def close(number: int, doc_ids: list, words: list[np.ndarray], numbers: dict[bytes, int]) -> pa.RecordBatch:
-        sizes = np.array([len(w) for w in words], np.int64) + 1
-        token = np.zeros(int(sizes.sum()), np.int64)
-        is_word = np.ones(len(token), bool)
-        is_word[np.cumsum(sizes) - 1] = False
-        token[is_word] = np.concatenate(words)
-        hashes = np.fromiter(map(token_hash, numbers), np.uint64, len(numbers))
+    """One row per block, with the file that has its documents and tokens, numbered in order of their hashes."""
+
+    def block_of(doc_ids: list[int | None], texts: pa.Array) -> tuple[int, bytes]:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False)
+        doc_of = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        vocabulary = [w.encode() for w in words.dictionary.to_pylist()]
+        if b"" in vocabulary:  # white space at a text's ends
+            is_word = code != vocabulary.index(b"")
+            code, doc_of = code[is_word], doc_of[is_word]
+        hashes = np.fromiter(map(token_hash, [*vocabulary, END]), np.uint64, len(vocabulary) + 1)
         order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
+        sizes = np.bincount(doc_of, minlength=len(texts)).astype(np.int64) + 1
+        token = np.full(int(sizes.sum()), rank[-1], np.uint32)
+        within = np.ones(len(token), bool)
+        within[np.cumsum(sizes) - 1] = False
+        token[within] = rank[code]
+        # small numbers for frequent tokens, which take less room
+        frequent = np.argsort(-np.bincount(token, minlength=len(order)), kind="stable").astype(np.uint32)
+        number = np.empty(len(order), np.uint32)
+        number[frequent] = np.arange(len(order))
         ids = np.array([x or 0 for x in doc_ids], np.int64)
         flags = np.array([(x is not None) + 2 * is_held_out(x) for x in doc_ids], np.uint8)
-        data = packed(steps(hashes[order]), rank[token].astype(np.uint32), sizes, ids, flags, rank[:1])
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(token)]), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["block", "n_tokens", "payload"])
+        return len(token), packed(steps(hashes[order]), frequent, number[token], sizes, ids, flags, number[rank[-1:]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        doc_ids, words, numbers, chars = [], [], {END: 0}, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                found = raw.lower().split()
-                words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
-                doc_ids.append(doc_id)
-                chars += len(raw)
-                if chars >= BLOCK_CHARS:
-                    yield close(number, doc_ids, words, numbers)
-                    number += 1
-                    doc_ids, words, numbers, chars = [], [], {END: 0}, 0
-        if doc_ids:
-            yield close(number, doc_ids, words, numbers)
+            for begin, end in text_steps(batch.column(1), BLOCK_BYTES):
+                own = batch.slice(begin, end - begin)
+                n, data = block_of(own.column(0).to_pylist(), own.column(1))
+                file = storage.put(f"{folder}/tokens", f"block-{number:x}", data)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([file])], names=["block", "n_tokens", "file"])
+                number += 1
 
     return storage.written(docs.mapInArrow(write, BLOCKS), f"{folder}/blocks")
 
 
+def smoothed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A state's probability of a symbol that it has ``n`` times and the shorter state gives ``p``."""
+    return (np.maximum(n - 1, 0) + kinds * p) / total
+
+
 def discount(seen_once: int, seen_twice: int) -> float:
     """What each count of the root gives up."""
     return min(0.95, max(0.05, seen_once / (seen_once + 2 * seen_twice))) if seen_once else 0.05
 
 
 class Root:
-    """What all blocks know of the training tokens, and how the work is dealt out."""
+    """What all blocks know of the training tokens."""
 
-    def __init__(self, tokens: int, distinct: int, once: int, twice: int, buckets: int):
-        self.tokens, self.distinct, self.buckets = tokens, distinct, buckets
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int):
+        self.tokens, self.distinct = tokens, distinct
         self.d = discount(once, twice)
         self.hot_from = max(BUCKET_ROWS // 4, tokens // MAX_HOT) + 1
 
@@ -165,139 +211,188 @@ class Root:
 
 
 class Block:
-    """A block's tokens, and for each of them its probability by the levels answered so far."""
+    """A block's documents and tokens."""
 
     def __init__(self, data: bytes):
-        hashes, codes, self.sizes, self.doc_ids, self.flags, end = unpacked(data)
-        self.hashes, self.codes, self.end = np.cumsum(hashes, dtype=np.uint64), codes.astype(np.int64), int(end[0])
-        self.doc_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.before = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        hashes, self.place, self.codes, self.sizes, self.doc_ids, self.flags, end = unpacked(data)
+        self.sorted, self.end = np.cumsum(hashes, dtype=np.uint64), int(end[0])
+        self.hashes = self.sorted[self.place]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.doc_of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.train = (self.flags < 2)[self.doc_of]
 
-    # the tokens themselves
+    def before(self, at: np.ndarray, j: int) -> np.ndarray:
+        """The token ``j`` places before; what stands before a text's first token is its end."""
+        return np.where(at - j >= self.starts[self.doc_of[at]], self.codes[np.maximum(at - j, 0)], self.end)
+
+    def by_doc(self, values: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.doc_of if at is None else self.doc_of[at], weights=values, minlength=len(self.sizes))
 
     def token_asks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        counts = np.bincount(self.codes[self.train], minlength=len(self.hashes))
-        for bucket, own in self._by_bucket(self.hashes, buckets):
-            yield bucket, packed(steps(self.hashes[own]), _slim(counts[own]))
+        counts = np.empty(len(self.sorted), np.int64)
+        counts[self.place] = np.bincount(self.codes[self.train], minlength=len(self.hashes))
+        for b, own in enumerate(_edges(bucket_of(self.sorted, buckets), buckets)):
+            if own.start < own.stop:
+                yield b, packed(steps(self.sorted[own]), _slim(counts[own]))
+
+    def take_tokens(self, answers: dict[int, bytes]) -> None:
+        """Counts of the tokens in training, and numbers of those that were seen twice."""
+        c, ids = (np.concatenate(x) for x in zip(*(unpacked(answers[b]) for b in sorted(answers)), strict=True))
+        self.c, self.ids = c.astype(np.int64)[self.place], ids.astype(np.uint64)[self.place]
+
+    def first_places(self, root: Root) -> Places:
+        """All places with the root's probability; those whose last token was seen once go no further."""
+        c = self.c
+        p, at = root.probability(c), np.arange(len(self.codes))
+        before = np.concatenate([[self.end], self.codes[:-1]]).astype(np.int64)
+        before[self.starts] = self.end
+        base = self.by_doc(np.log10((c + 1) / float(root.tokens + root.distinct + 1))[self.codes])
+        docs = [base, self.by_doc((c > 0).astype(float)[self.codes]), np.zeros(len(self.sizes))]
+        return Places(at, p[self.codes], c[self.codes], c[before], np.ones(len(at), bool), docs).going_on(self, 0)
+
+
+class Places:
+    """Places of a block that have a longer context to ask for, in order; what is settled is in the documents' sums.
+
+    ``p``: the symbol's probability so far. ``own``: a bound of how often the symbol stands after the context
+    asked for last, exact if that is above one; ``prior``: the same of the token before, ``exact`` if its
+    context was the longest that this one's token would make. After the first level ``first`` has the totals and
+    kinds of the tokens as contexts, from which ``p`` comes back; after later ones ``p`` itself is carried.
+    """
+
+    def __init__(self, at: np.ndarray, p: np.ndarray, own: np.ndarray, prior: np.ndarray, exact: np.ndarray, docs: list[np.ndarray], first: list[np.ndarray] | None = None):
+        self.at, self.p, self.own, self.prior, self.exact, self.docs, self.first = at, p, own, prior, exact, docs, first
+
+    def going_on(self, block: Block, k: int) -> Places:
+        """The places with a context of k + 1 tokens that was seen often enough; the others are settled."""
+        live = (self.prior >= MIN_COUNT) & (self.at - block.starts[block.doc_of[self.at]] >= k)
+        gone = ~live
+        self.docs[2] = self.docs[2] + block.by_doc(np.log10(self.p[gone]), self.at[gone])
+        return Places(self.at[live], self.p[live], self.own[live], self.prior[live], self.exact[live], self.docs, self.first)
+
+    def pack(self) -> bytes:
+        p = [self.p.astype(np.float32)] if self.first is None else [_slim(x) for x in self.first]
+        return packed(np.diff(self.at, prepend=0).astype(np.uint32), _slim(self.own), _slim(self.prior), self.exact.view(np.uint8), *self.docs, *p)
 
     @staticmethod
-    def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if bounds[b] < bounds[b + 1]:
-                yield b, order[bounds[b] : bounds[b + 1]]
-
-    def take_tokens(self, answers: dict[int, bytes], root: Root) -> None:
-        self.c = np.zeros(len(self.hashes), np.int64)
-        for bucket, own in self._by_bucket(self.hashes, root.buckets):
-            self.c[own] = unpacked(answers[bucket])[0]
-        self.p = root.probability(self.c)[self.codes]
-        self.bound = self.c[self.codes]  # occurrences of the symbol after the longest context that was asked for
-        self.asked = np.zeros(len(self.codes), np.int32)  # and that context's length
-        self.active = np.arange(len(self.codes))
-        self.context = np.zeros(len(self.codes), np.int64)
-        self.context_hash = np.zeros(1, np.uint64)
-
-    # contexts of ``k`` tokens
-
-    def open_level(self, k: int, root: Root) -> None:
-        """Number the contexts and the pairs that this level asks for, in the order in which they travel."""
-        at, first = self.active, self.before[self.active] == k - 1
-        prior = np.maximum(at - 1, 0)
-        begun = self.before[at] == 0  # nothing but the beginning stands before
-        bound = np.where(begun, self.c[self.end], self.bound[prior])
-        exact = (np.where(begun, 0, self.asked[prior]) == k - 1) if k > 1 else np.ones(len(at), bool)
-        live = (self.before[at] >= k - 1) & (bound >= MIN_COUNT)
-        at, first, bound, exact, context = at[live], first[live], bound[live], exact[live], self.context[live]
-        oldest = np.where(first, self.end, self.codes[np.maximum(at - k, 0)])
-        keys, some, own = np.unique(context * len(self.hashes) + oldest, return_index=True, return_inverse=True)
-        h = mix64(self.context_hash[context[some]] * _A + self.hashes[oldest[some]] + np.uint64(k))
-        hot, total = exact[some] & (bound[some] >= root.hot_from), bound[some]
-        bucket = (h % np.uint64(root.buckets)).astype(np.int64)
-        order = np.lexsort((h, bucket, hot))
+    def unpack(data: bytes, block: Block, root: Root) -> Places:
+        at, own, prior, exact, base, known, score, *p = unpacked(data)
+        places = Places(np.cumsum(at, dtype=np.int64), None, own.astype(np.int64), prior.astype(np.int64), exact.view(bool), [base, known, score])
+        if len(p) == 1:
+            places.p = p[0].astype(np.float64)
+        else:
+            total, kinds = (x.astype(np.int64)[block.before(places.at, 1)] for x in p)
+            places.p = smoothed(places.own, total, kinds, root.probability(block.c)[block.codes[places.at]])
+        return places
+
+
+class Level:
+    """The distinct contexts of ``k`` tokens before the places, and pairs with symbols, in the order in which they travel."""
+
+    def __init__(self, block: Block, places: Places, k: int, buckets: int, hot_from: int):
+        self.block, self.places, self.k, self.buckets = block, places, k, buckets
+        at, hashes = places.at, block.hashes
+        if k == 1:
+            h, own, some = self._numbered_tokens(block.before(at, 1))
+        else:
+            h = np.zeros(len(at), np.uint64)
+            for j in range(1, k + 1):
+                h = mix64(h * _A + hashes[block.before(at, j)] + np.uint64(j))
+            h, own, some = numbered(h)
+        hot = places.exact[some] & (places.prior[some] >= hot_from)
+        order = np.argsort(hot, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.active, self.context, self.context_hash = at, rank[own], h[order]
-        self.hot, self.total, bucket = hot[order], total[order], bucket[order]
-        self.m = np.bincount(self.context, weights=self.train[at], minlength=len(order)).astype(np.int64)
-        self.pairing = np.flatnonzero(self.bound[at] >= MIN_COUNT)
-        pairs, some, self.pair_of = np.unique(self.context[self.pairing] * len(self.hashes) + self.codes[at[self.pairing]], return_index=True, return_inverse=True)
-        self.pair_context, symbol = pairs // len(self.hashes), self.hashes[pairs % len(self.hashes)]
-        self.pair_symbol = symbol >> np.uint64(16)
-        self.pair_n = np.bincount(self.pair_of, weights=self.train[at[self.pairing]], minlength=len(pairs)).astype(np.int64)
-        self.pair_q = np.maximum(np.round(np.log2(self.p[at[self.pairing[some]]]) * 256), -32768).astype(np.int16)
-        n_cool = int((~self.hot).sum())
-        cut = int(np.searchsorted(self.pair_context, n_cool))
-        edges = np.searchsorted(bucket[:n_cool], np.arange(root.buckets + 1))
-        self.cool = [(slice(a, b), slice(*np.searchsorted(self.pair_context[:cut], [a, b]))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        spread = (mix64(self.context_hash[self.pair_context[cut:]] ^ symbol[cut:]) % np.uint64(root.buckets)).astype(np.int64)
-        order = np.argsort(spread, kind="stable") + cut
-        edges = np.searchsorted(spread[order - cut], np.arange(root.buckets + 1))
-        self.dealt = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.h, self.total, self.n_cool = h[order], places.prior[some[order]], int(len(h) - hot.sum())
+        self.context = rank[own]
+        self.pairing = np.flatnonzero(places.own >= MIN_COUNT)
+        keys = self.context[self.pairing] * len(hashes) + block.codes[at[self.pairing]]
+        keys, self.pair_of, self.some_pair = numbered(keys)
+        self.pair_context, self.symbol = keys // len(hashes), block.ids[keys % len(hashes)]
+        contexts = _edges(bucket_of(self.h[: self.n_cool], buckets), buckets)
+        cut = int(np.searchsorted(self.pair_context, self.n_cool))
+        bounds = np.searchsorted(self.pair_context[:cut], [c.start for c in contexts] + [self.n_cool]).tolist()
+        self.cool = [(c, slice(a, b)) for c, a, b in zip(contexts, bounds[:-1], bounds[1:], strict=True)]
+        spread = bucket_of(mix64(self.h[self.pair_context[cut:]] ^ mix64(self.symbol[cut:])), buckets)
+        order = np.argsort(spread, kind="stable")
+        self.dealt = [order[e] + cut for e in _edges(spread[order], buckets)]
+
+    def _numbered_tokens(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``numbered`` for contexts of one token: each is hashed once."""
+        some = np.full(len(self.block.hashes), -1, np.int64)
+        some[token] = np.arange(len(token))
+        present = np.flatnonzero(some >= 0)
+        h = mix64(self.block.hashes[present] + np.uint64(1))
+        order = np.argsort(h)
+        rank = np.empty(len(some), np.int64)
+        rank[present[order]] = np.arange(len(order))
+        return h[order], rank[token], some[present[order]]
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
-        for b, ((contexts, pairs), hot) in enumerate(zip(self.cool, self.dealt, strict=True)):
+        block, at = self.block, self.places.at
+        m = np.bincount(self.context, weights=block.train[at], minlength=len(self.h)).astype(np.int64)
+        pair_n = np.bincount(self.pair_of, weights=block.train[at[self.pairing]], minlength=len(self.symbol)).astype(np.int64)
+        q = np.maximum(np.round(np.log2(self.places.p[self.pairing[self.some_pair]]) * Q), -32768).astype(np.int16)
+        pairs = lambda own: (_slim(self.symbol[own]), _slim(pair_n[own]), q[own])
+        for b, ((contexts, own), hot) in enumerate(zip(self.cool, self.dealt, strict=True)):
             if contexts.start == contexts.stop and not len(hot):
                 continue
-            per = np.bincount(self.pair_context[pairs] - contexts.start, minlength=contexts.stop - contexts.start)
+            per = np.bincount(self.pair_context[own] - contexts.start, minlength=contexts.stop - contexts.start)
             hot_contexts, of_hot = np.unique(self.pair_context[hot], return_counts=True)
             yield b, packed(
-                *(steps(self.context_hash[contexts]), _slim(self.m[contexts]), _slim(per), *self._pairs(pairs)),
-                *(steps(self.context_hash[hot_contexts]), self.total[hot_contexts], _slim(of_hot), *self._pairs(hot)),
+                *(steps(self.h[contexts]), _slim(m[contexts]), _slim(per), *pairs(own)),
+                *(steps(self.h[hot_contexts]), self.total[hot_contexts], _slim(of_hot), *pairs(hot)),
             )
 
-    def _pairs(self, own) -> tuple[np.ndarray, ...]:
-        return steps(self.pair_symbol[own]), _slim(self.pair_n[own]), self.pair_q[own]
-
-    def take_level(self, k: int, answers: dict[int, bytes], hot_states: np.ndarray) -> None:
-        """``hot_states``: hash, total and kinds of the states among contexts that are dealt out by symbol."""
-        total, kinds, n = np.zeros(len(self.m), np.int64), np.zeros(len(self.m), np.int64), np.zeros(len(self.pair_n), np.int64)
+    def take(self, answers: dict[int, bytes], hot_states: np.ndarray) -> Places:
+        """The places after the answers; ``hot_states``: those among the contexts that are dealt out by symbol."""
+        places = self.places
+        total, kinds, n = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.int64), np.zeros(len(self.symbol), np.int64)
         for b, ((contexts, pairs), hot) in enumerate(zip(self.cool, self.dealt, strict=True)):
             if contexts.start < contexts.stop or len(hot):
                 total[contexts], kinds[contexts], n[pairs], n[hot] = unpacked(answers[b])
-        if len(hot_states) and self.hot.any():
-            mine = np.flatnonzero(self.hot)
-            h = self.context_hash[mine].view(np.int64)
+        if len(hot_states) and self.n_cool < len(self.h):
+            h = self.h[self.n_cool :].view(np.int64)
             at = np.minimum(np.searchsorted(hot_states["ctx"], h), len(hot_states) - 1)
             same = hot_states["ctx"][at] == h
-            total[mine[same]], kinds[mine[same]] = hot_states["total"][at[same]], hot_states["kinds"][at[same]]
-        seen = np.zeros(len(self.active), np.int64)
-        seen[self.pairing] = n[self.pair_of]
-        self.bound[self.active[self.pairing]] = seen[self.pairing]
-        self.asked[self.active] = k
+            total[self.n_cool :][same], kinds[self.n_cool :][same] = hot_states["total"][at[same]], hot_states["kinds"][at[same]]
+        own = places.own
+        own[self.pairing] = n[self.pair_of]
         of, kind = total[self.context], kinds[self.context]
         state = of > 0
-        p = self.p[self.active]
-        self.p[self.active] = np.where(state, (np.maximum(seen - 1, 0) + kind * p) / np.maximum(of, 1), p)
-        self.active, self.context = self.active[state], self.context[state]
-
-    def scores(self, root: Root) -> pa.RecordBatch:
-        per = lambda values: np.bincount(self.doc_of, weights=values, minlength=len(self.sizes))
-        base = np.log10((self.c + 1) / float(root.tokens + root.distinct + 1))[self.codes]
-        held = pa.array(self.flags >= 2)
-        ids = pa.array(self.doc_ids, mask=self.flags % 2 == 0)
-        known = per((self.c > 0)[self.codes].astype(float)).astype(np.int64)
-        every = pa.array(np.full(len(self.sizes), root.tokens, np.int64))
-        return pa.RecordBatch.from_arrays([ids, held, pa.array(self.sizes), pa.array(known), every, pa.array(per(base)), pa.array(per(np.log10(self.p)))], names=[x.split()[0] for x in SCORES.split(", ")])
-
-
-def sum_tokens(parts: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], tuple[int, int, int, int]]:
-    """Answers of one bucket to (block, ask), and its training tokens, distinct ones, those seen once and twice."""
+        places.p[state] = smoothed(own[state], of[state], kind[state], places.p[state])
+        beside = np.concatenate([[False], places.at[1:] == places.at[:-1] + 1])  # the token before is a place, too
+        prior = np.where(beside, np.concatenate([[0], own[:-1]]), places.prior)
+        prior[~state] = 0  # nothing grows but states
+        first = None
+        if self.k == 1:
+            first = [np.zeros(len(self.block.hashes), np.int64) for _ in range(2)]
+            token = self.block.before(places.at, 1)
+            first[0][token], first[1][token] = of, kind
+        return Places(places.at, places.p, own, prior, beside, places.docs, first).going_on(self.block, self.k)
+
+
+def sum_tokens(parts: list[tuple[int, bytes]], bucket: int, buckets: int) -> tuple[list[tuple[int, bytes]], tuple[int, int, int, int]]:
+    """Answers of one bucket to (block, ask), and its training tokens, distinct ones, those seen once and twice.
+
+    A token that was seen twice gets a number of its own among all buckets, a small one if it is frequent.
+    """
     asked = [unpacked(x) for _, x in parts]
     keys = np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in asked])
-    _, own = np.unique(keys, return_inverse=True)
+    _, own, _ = numbered(keys)
     c = np.bincount(own, weights=np.concatenate([n for _, n in asked])).astype(np.int64)
     ends = np.cumsum([len(h) for h, _ in asked])
-    out = [(block, packed(_slim(c[own[e - len(h) : e]]))) for (block, _), (h, _), e in zip(parts, asked, ends, strict=True)]
+    rank = np.empty(len(c), np.int64)
+    rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    ids = np.where(c >= MIN_COUNT, rank * buckets + bucket + 1, 0)
+    of = lambda x, h, e: _slim(x[own[e - len(h) : e]])
+    out = [(block, packed(of(c, h, e), of(ids, h, e))) for (block, _), (h, _), e in zip(parts, asked, ends, strict=True)]
     return out, (int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum()))
 
 
 def _pair_counts(context: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the distinct pairs: where one stands, their counts, and which of them each row is."""
-    _, some, own = np.unique(mix64((context.astype(np.uint64) + np.uint64(1)) * _B ^ mix64(symbols)), return_index=True, return_inverse=True)
+    _, own, some = numbered(mix64((context.astype(np.uint64) + np.uint64(1)) * _B ^ mix64(symbols)))
     return some, np.bincount(own, weights=n, minlength=len(some)).astype(np.int64), own
 
 
@@ -305,7 +400,7 @@ def state_test(total: np.ndarray, context: np.ndarray, n: np.ndarray, q: np.ndar
     """Whether each context is a state, and its number of kinds, from its pairs that were seen twice or more."""
     repeats = np.bincount(context, minlength=len(total))
     kinds = total - np.bincount(context, weights=n - 1, minlength=len(total)).astype(np.int64)
-    p = np.exp2(q / 256.0)
+    p = np.exp2(q / Q)
     of, kind = np.maximum(total, 1), np.maximum(kinds, 1)
     gain = np.bincount(context, weights=n * np.log((n - 1 + kind[context] * p) / (of[context] * p)), minlength=len(total)) + (kinds - repeats) * np.log(kind / of)
     return (total >= MIN_COUNT) & (gain > np.maximum(repeats, 1)), kinds
@@ -317,9 +412,9 @@ def sum_level(parts: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]],
 
     def joined(first: int) -> tuple[np.ndarray, ...]:
         keys = np.concatenate([np.cumsum(a[first], dtype=np.uint64) for a in asked])
-        symbols = np.concatenate([np.cumsum(a[first + 3], dtype=np.uint64) for a in asked])
+        symbols = np.concatenate([a[first + 3] for a in asked]).astype(np.uint64)
         m, per, n, q = (np.concatenate([a[first + i] for a in asked]).astype(np.int64) for i in (1, 2, 4, 5))
-        distinct, some, own = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, own, some = numbered(keys)
         context = np.repeat(own, per)
         some_pair, counts, own_pair = _pair_counts(context, symbols, n)
         again = counts >= MIN_COUNT
@@ -352,14 +447,16 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, li
 
 
 def exchange(asks: DataFrame, buckets: int, level: int, path: str) -> DataFrame:
-    """Bring the asks of a bucket together and write its answers."""
+    """Bring the asks of a bucket together and write its answers, and what blocks carry on."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("ctx", pa.int64()), ("total", pa.int64()), ("n", pa.int64()), ("q", pa.int32())])
         for bucket, rows in _runs(batches, "bucket"):
             parts = [(r["block"], r["payload"]) for r in rows]
-            if level == 0:
-                out, totals = sum_tokens(parts)
+            if bucket < 0:  # what a block carries on
+                out, extra = parts, [np.zeros(0, np.int64)] * 4
+            elif level == 0:
+                out, totals = sum_tokens(parts, bucket, buckets)
                 extra = [np.array([x], np.int64) for x in totals]
             else:
                 out, extra = sum_level(parts)
@@ -377,7 +474,7 @@ def exchange(asks: DataFrame, buckets: int, level: int, path: str) -> DataFrame:
 
 def hot_states(answers: DataFrame) -> np.ndarray:
     """hash, total and kinds of the states among the contexts dealt out by symbol: at most MAX_HOT rows."""
-    pairs = answers.filter("ctx IS NOT NULL").select("ctx", "total", F.col("n").cast("double").alias("n"), F.pow(F.lit(2.0), F.col("q") / 256).alias("p"))
+    pairs = answers.filter("ctx IS NOT NULL").select("ctx", "total", F.col("n").cast("double").alias("n"), F.pow(F.lit(2.0), F.col("q") / Q).alias("p"))
     per = pairs.groupBy("ctx").agg(F.max("total").cast("double").alias("total"), (F.max("total") - F.sum(F.col("n") - 1)).alias("kinds"), F.count(F.lit(1)).alias("repeats"))
     gain = F.sum(F.col("n") * F.log((F.col("n") - 1 + F.col("kinds") * F.col("p")) / (F.col("total") * F.col("p"))))
     tested = pairs.select("ctx", "n", "p").join(F.broadcast(per), "ctx").groupBy("ctx", "total", "kinds", "repeats").agg(gain.alias("gain"))
@@ -386,26 +483,6 @@ def hot_states(answers: DataFrame) -> np.ndarray:
     return np.array(sorted(rows), np.dtype([("ctx", "<i8"), ("total", "<i8"), ("kinds", "<i8")]))
 
 
-def _replayed(batches: Iterator[pa.RecordBatch], root: Root, states: list[np.ndarray]) -> Iterator[tuple[int, Block]]:
-    """Blocks with all levels taken that were answered."""
-    for number, rows in _runs(batches, "block"):
-        block = Block(rows[0]["payload"])
-        answers: list[dict[int, bytes]] = [{} for _ in range(len(states) + 1)]
-        for r in rows[1:]:
-            answers[r["level"]][r["bucket"]] = r["payload"]
-        block.take_tokens(answers[0], root)
-        for k, own in enumerate(states, 1):
-            block.open_level(k, root)
-            block.take_level(k, answers[k], own)
-        yield number, block
-
-
-def _ask(k: int, root: Root, states: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, block in _replayed(batches, root, states):
-        block.open_level(k, root)
-        yield _asks_batch(number, list(block.asks()))
-
-
 def _asks_batch(number: int, asks: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asks], pa.int32()), pa.array([number] * len(asks), pa.int64()), pa.array([x for _, x in asks], pa.binary())], names=["bucket", "block", "payload"])
 
@@ -413,15 +490,41 @@ def _asks_batch(number: int, asks: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def _ask_tokens(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield _asks_batch(row["block"], list(Block(row["payload"]).token_asks(buckets)))
-
-
-def _score(root: Root, states: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, block in _replayed(batches, root, states):
-        yield block.scores(root)
+            yield _asks_batch(row["block"], list(Block(storage.get(row["file"])).token_asks(buckets)))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def _ask(k: int, root: Root, buckets: list[int], states: np.ndarray | None, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take the answers to level k - 1, carry the places on, and ask for level k."""
+    for number, rows in _runs(batches, "block"):
+        block = Block(storage.get(rows[0]["payload"].decode()))
+        answers: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
+        for r in rows[1:]:
+            answers[r["level"]][r["bucket"]] = r["payload"]
+        carried = next((x for b, x in answers[1].items() if b < 0), None)
+        block.take_tokens(answers[0])
+        places = Places.unpack(storage.get(carried.decode().partition(" ")[2]), block, root) if carried is not None else block.first_places(root)
+        if k > 1 and len(places.at):
+            places = Level(block, places, k - 1, buckets[k - 1], root.hot_from).take(answers[1], states)
+        if k > 1 or not len(places.at):
+            file = storage.put(f"{folder}/places-{k}", f"block-{number:x}", places.pack())
+            yield _asks_batch(number, [(-1 - number % buckets[0], f"{len(places.at)} {file}".encode())])
+        if len(places.at) and k < len(buckets):
+            yield _asks_batch(number, list(Level(block, places, k, buckets[k], root.hot_from).asks()))
+
+
+def _score(root: Root, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _runs(batches, "block"):
+        block = Block(storage.get(rows[0]["payload"].decode()))
+        block.take_tokens({r["bucket"]: r["payload"] for r in rows if r["level"] == 0})
+        places = Places.unpack(storage.get(rows[-1]["payload"].decode().partition(" ")[2]), block, root)
+        base, known, score = places.docs
+        score = score + block.by_doc(np.log10(places.p), places.at)
+        ids, every = pa.array(block.doc_ids, mask=block.flags % 2 == 0), np.full(len(block.sizes), root.tokens, np.int64)
+        columns = [ids, pa.array(block.flags >= 2), *map(pa.array, (block.sizes, known.astype(np.int64), every, base, score))]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
     folder = storage.work_dir(spark, "suffixtree")
@@ -432,24 +535,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], SCORES)
     buckets = -(-size["tokens"] // BUCKET_ROWS)
 
-    def with_answers(levels: list[DataFrame]) -> DataFrame:
-        """Blocks, each followed by the answers that it got."""
-        out = blocks.select("block", F.lit(-1).alias("level"), F.lit(-1).alias("bucket"), "payload")
+    def with_answers(*levels: DataFrame) -> DataFrame:
+        """Blocks, each followed by what it got from each of ``levels``."""
+        out = blocks.select("block", F.lit(-1).alias("level"), F.lit(0).alias("bucket"), F.col("file").cast("binary").alias("payload"))
         for k, level in enumerate(levels):
             out = out.unionByName(level.filter("block IS NOT NULL").select("block", F.lit(k).alias("level"), "bucket", "payload"))
         return out.repartition(size["blocks"], "block").sortWithinPartitions("block", "level", "bucket")
 
-    levels = [exchange(blocks.mapInArrow(partial(_ask_tokens, buckets), ASKS), buckets, 0, f"{folder}/level-0")]
-    of = levels[0].filter("ctx IS NOT NULL").agg(*(F.sum(x).alias(x) for x in ("ctx", "total", "n", "q"))).first()
-    root = Root(of["ctx"], of["total"], of["n"], of["q"], buckets)
-    states: list[np.ndarray] = []
+    tokens = exchange(blocks.mapInArrow(partial(_ask_tokens, buckets), ASKS), buckets, 0, f"{folder}/level-0")
+    of = tokens.filter("ctx IS NOT NULL").agg(*(F.sum(x).alias(x) for x in ("ctx", "total", "n", "q"))).first()
+    root = Root(of["ctx"], of["total"], of["n"], of["q"])
+    answers, states, k, dealt = spark.createDataFrame([], ANSWERS), None, 0, [buckets]
     while True:
         storage.release(spark)
-        k = len(levels)
-        answers = exchange(with_answers(levels).mapInArrow(partial(_ask, k, root, states), ASKS), buckets, k, f"{folder}/level-{k}")
-        if not answers.limit(1).count():
+        k += 1
+        if k <= depth:
+            dealt.append(buckets)
+        known = with_answers(tokens, answers)
+        answers = exchange(known.mapInArrow(partial(_ask, k, root, dealt, states, folder), ASKS), buckets, k, f"{folder}/level-{k}")
+        del known  # or its shuffle files would outlive the next release
+        if k > 1:
+            for done in ("level", "places"):
+                storage.drop_dir(spark, f"{folder}/{done}-{k - 1}")
+        if k > depth or not answers.filter("bucket >= 0").limit(1).count():
             break
-        levels.append(answers)
-        states.append(hot_states(answers))
+        states = hot_states(answers)
+        if k > 1:  # a level asks for no more places than the one before
+            live = answers.filter("bucket < 0").agg(F.sum(F.substring_index(F.col("payload").cast("string"), " ", 1).cast("long"))).first()[0]
+            buckets = max(1, -(-live // BUCKET_ROWS))
     storage.release(spark)
-    return with_answers(levels).mapInArrow(partial(_score, root, states), SCORES)
+    return with_answers(tokens, answers.filter("bucket < 0")).mapInArrow(partial(_score, root), SCORES)

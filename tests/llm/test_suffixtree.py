@@ -20,7 +20,7 @@ def corpus(n, seed=1):
     return [(i, " ".join(word() + r.choice(["", "", ",", "."]) for _ in range(r.randint(0, 60))), "k", 0) for i in range(n)]
 
 
-def plain_scores(rows):
+def plain_scores(rows, depth=st.DEPTH):
     """The same model by one dictionary for each context, and its states."""
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     tokens = lambda t: [w.lower() if w.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
@@ -42,10 +42,10 @@ def plain_scores(rows):
             c = seen.get(ctx, Counter())
             total, again = sum(c.values()), sum(m > 1 for m in c.values())
             gain = 0.0
-            if total >= st.MIN_COUNT and (len(ctx) == 1 or is_state(ctx[1:])):
+            if len(ctx) <= depth and total >= st.MIN_COUNT and (len(ctx) == 1 or is_state(ctx[1:])):
                 for y, m in c.items():
                     if m > 1:
-                        up = 2 ** (round(math.log2(p(ctx[1:], y)) * 256) / 256)
+                        up = 2 ** (round(math.log2(p(ctx[1:], y)) * st.Q) / st.Q)
                         gain += m * math.log((m - 1 + len(c) * up) / (total * up))
                     else:
                         gain += math.log(len(c) / total)
@@ -87,18 +87,30 @@ def phrases(n, seed=4):
     return [(100 + i, " ".join(r.choice(shared) if r.random() < 0.5 else r.choice(words) for _ in range(r.randint(0, 30))), "k", 0) for i in range(n)]
 
 
-@pytest.mark.parametrize("block_chars, bucket_rows, max_hot", [(12 << 20, 1 << 20, 1 << 16), (1500, 300, 1 << 16), (700, 40, 64)])
-def test_scores_equal_the_plain_tree(spark, monkeypatch, block_chars, bucket_rows, max_hot):
-    for name, value in (("BLOCK_CHARS", block_chars), ("BUCKET_ROWS", bucket_rows), ("MAX_HOT", max_hot)):
+@pytest.mark.parametrize("block_bytes, bucket_rows, max_hot, depth", [(12 << 20, 1 << 20, 1 << 16, st.DEPTH), (1500, 300, 1 << 16, 40), (700, 40, 64, 3)])
+def test_scores_equal_the_plain_tree(spark, monkeypatch, block_bytes, bucket_rows, max_hot, depth):
+    for name, value in (("BLOCK_BYTES", block_bytes), ("BUCKET_ROWS", bucket_rows), ("MAX_HOT", max_hot)):
         monkeypatch.setattr(st, name, value)
     rows = [*corpus(40), *ODD, *phrases(120)]
-    got = sorted(map(tuple, st.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=lambda x: str(x[:4]) + str(round(x[6], 4)))
-    want, states, _, _ = plain_scores(rows)
+    got = sorted(map(tuple, st.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), depth).collect()), key=lambda x: str(x[:4]) + str(round(x[6], 4)))
+    want, states, _, _ = plain_scores(rows, depth)
     want.sort(key=lambda x: str(x[:4]) + str(round(x[6], 4)))
-    assert max(map(len, states)) >= 4  # the tree is deep
+    assert max(map(len, states)) >= min(depth, 4)  # the tree is deep
     assert [x[:5] for x in got] == [x[:5] for x in want]
     for a, b in zip(got, want, strict=True):
-        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+        assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-5)  # carried as single precision
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_trees_that_end_at_the_first_level(spark, depth):
+    rows = [(i, "a b a c a b d", "k", 0) for i in range(3)] + [(10 + i, f"x{i} y{i}", "k", 0) for i in range(4)]
+    got = {r.doc_id: r.score for r in st.score_documents(spark.createDataFrame(rows, SCHEMA), depth).collect()}
+    for i, *_, score in plain_scores(rows, depth)[0]:
+        assert got[i] == pytest.approx(score, rel=1e-5)
+    alone = [(i, " ".join(f"w{i}x{j}" for j in range(5)) + " z z", "k", 0) for i in range(4)]
+    got = {r.doc_id: r.score for r in st.score_documents(spark.createDataFrame(alone, SCHEMA), depth).collect()}
+    for i, *_, score in plain_scores(alone, depth)[0]:
+        assert got[i] == pytest.approx(score, rel=1e-5)
 
 
 def test_probabilities_sum_to_one():
