@@ -67,9 +67,10 @@ def sweep(spark: SparkSession, sf_dir: str, settings: dict[str, Rules], only: Da
     """Scores of the arms under each setting that has units enough; ``only`` keeps the same topics throughout."""
     parts = []
     for name, rules in settings.items():
-        rows = matrix(spark, sf_dir, rules)
-        rows = rows if only is None else rows.join(only.select("topic"), "topic", "left_semi")
-        if large_enough(rows):
+        among = (lambda rows: rows) if only is None else (lambda rows: rows.join(only.select("topic"), "topic", "left_semi"))
+        kept = units.units(units.verdicts(b.series(spark, sf_dir), rules), rules)
+        if large_enough(among(kept)):  # before any feature is made
+            rows = among(matrix(spark, sf_dir, rules))
             parts.append(evaluate(rows, **fit).withColumn("setting", F.lit(name)))
     found = _union(parts)
     return spark.createDataFrame([], NONE) if found is None else found.select(*[c.split()[0] for c in NONE.split(", ")])
@@ -87,9 +88,9 @@ def robustness(spark: SparkSession, sf_dir: str, **fit) -> DataFrame:
     """Scores with fewer or more posts asked for, other window lengths, and other folds."""
     settings = {f"min_window_{m}": replace(b.RULES, min_window=m) for m in (1, 2, 3)} | {f"window_{w}": replace(b.RULES, window=w) for w in (12, 16, 20)}
     found = sweep(spark, sf_dir, settings, **fit)
-    rows = matrix(spark, sf_dir)
-    if not large_enough(rows):
+    if not large_enough(b.kept(spark, sf_dir)):
         return found
+    rows = matrix(spark, sf_dir)
     dealt = [evaluate(rows, seed=str(42 + offset), **fit).withColumn("setting", F.lit(f"folds_{offset}")) for offset in (3, 4, 5)]
     return reduce(DataFrame.unionByName, [found, *[d.select(*found.columns) for d in dealt]])
 
