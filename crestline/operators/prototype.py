@@ -1,4 +1,4 @@
-"""The early study's extractor: sixteen features of a topic's first posts, and what it calls a trending name.
+"""The early study's extractor: seventeen features of a topic's first posts, and what it calls a trending name.
 
 Two rules for leaving out trending hashtags can be had: ``exact`` compares a hashtag with its sign as it is
 written, ``cleaned`` compares cleaned names. The first misses names that differ in case or ending.
