@@ -83,9 +83,8 @@ def crc32c(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     ends = np.cumsum(lanes)
     padded = np.zeros(int(ends[-1]) * LANE, np.uint8)
     to = ends * LANE - sizes
-    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    target = np.repeat(to - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    padded[target] = data[shift]
+    for a, b, n in zip(starts.tolist(), to.tolist(), sizes.tolist(), strict=True):
+        padded[b : b + n] = data[a : a + n]
     for k in range(4):
         padded[to + k] ^= 0xFF
     words = np.ascontiguousarray(padded.view("<u2").reshape(-1, LANE // 2).T)
@@ -123,8 +122,9 @@ def frame(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray, width:
         out[starts + k] = length[:, k]
     for k, column in enumerate(lead.view(np.uint8).reshape(n, HEAD.itemsize).T):
         out[starts + 12 + k] = column
-    body = np.repeat(starts + 12 + HEAD.itemsize - (np.cumsum(counts) - counts) * width, counts * width) + np.arange(int(counts.sum()) * width)
-    out[body] = np.ascontiguousarray(ids.astype(f"<u{width}")).view(np.uint8)
+    body = np.ascontiguousarray(ids.astype(f"<u{width}")).view(np.uint8)
+    for s, a, b in zip((starts + 12 + HEAD.itemsize).tolist(), (bounds[:-1] * width).tolist(), (bounds[1:] * width).tolist(), strict=True):
+        out[s : s + b - a] = body[a:b]
     checks = ((8, masked(crc32c(length.reshape(-1), np.arange(n) * 8, np.full(n, 8)))), (12 + payload, masked(crc32c(out, starts + 12, payload))))
     for at, check in checks:
         for k in range(4):
