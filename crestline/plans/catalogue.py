@@ -29,7 +29,8 @@ def _register(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    # adding 0 makes a negative zero a positive one
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 # --- shared parts of the SQL
@@ -326,7 +327,7 @@ _RESID = ["unique_users", "n_nodes", "peakedness", "bin_entropy"]
 _register("residualise", lambda s, d: rounded(evaluation.residualise(evaluation.fold_assignment(rounded(b.features(s, d)), "topic"), _RESID, config.VOLUME_PROXY), 5), f"""WITH {MATRIX}, fo AS (SELECT topic, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(topic || ':42'), topic) - 1) % 5 AS INT) AS fold FROM feats),
 l AS (SELECT fo.fold, l.topic, l.feature, l.value, f.window_tweets AS x FROM long l JOIN fo USING (topic) JOIN feats f USING (topic) WHERE feature IN ({', '.join(f"'{c}'" for c in _RESID)})),
 k AS (SELECT t.fold, t.feature, regr_slope(r.value, r.x) AS s, regr_intercept(r.value, r.x) AS i, avg(r.value) AS m FROM (SELECT DISTINCT fold, feature FROM l) t JOIN l r ON r.feature = t.feature AND r.fold <> t.fold GROUP BY ALL)
-SELECT l.topic, l.fold, l.feature, round(l.value - coalesce(k.i, k.m) - coalesce(k.s, 0) * l.x, 5) AS residual FROM l JOIN k USING (fold, feature)""")
+SELECT l.topic, l.fold, l.feature, round(l.value - coalesce(k.i, k.m) - coalesce(k.s, 0) * l.x, 5) + 0.0 AS residual FROM l JOIN k USING (fold, feature)""")
 _register("share_histogram", lambda s, d: evaluation.share_histogram(b.table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.round(F.col("l_quantity") / 50, 6).alias("v")), "v"), "SELECT CAST(l_returnflag = 'R' AS INT) AS label, CAST(least(floor(round(l_quantity / 50, 6) * 25), 24) AS INT) AS bin, count(*) AS n FROM lineitem WHERE round(l_quantity / 50, 6) BETWEEN 0 AND 1 GROUP BY ALL")
 _register("bootstrap_ci", lambda s, d: rounded(evaluation.bootstrap_ci(b.table(s, d, "labels").select(F.lit("doc").alias("arm"), F.col("doc_id").alias("key"), F.col("quality").alias("label"), (F.col("doc_id") % 101 / 100.0).alias("p")))))
 
