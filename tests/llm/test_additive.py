@@ -88,3 +88,29 @@ def test_every_query_gets_enough_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = additive.nearest(df, df).groupBy("query_id").count().collect()
     assert len(got) == 13 and all(r["count"] == 10 for r in got)
+
+
+def test_nothing_is_missed_when_the_sample_says_little(spark, monkeypatch):
+    """Rows of many scales: the codewords follow the few large ones, and the sample holds few rows of all."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(4000, 24)) * 10.0 ** rng.uniform(-3, 3, size=(4000, 1))).astype(np.float32)
+    x[3000:] = 5 + 0.01 * rng.normal(size=(1000, 24))
+    monkeypatch.setattr(additive, "SAMPLE", 256)
+    monkeypatch.setattr(additive, "PROBED", 0.5)
+    df = spark.createDataFrame([(i, v.tolist(), "s", "c") for i, v in enumerate(x)], SCHEMA).repartition(3)
+    got = {}
+    for r in additive.nearest(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q, rows in got.items():
+        assert [i for _, i in sorted(rows)] == [i for i, _ in brute(x, q, np.arange(4000))]
+    assert len(got) == 80
+
+
+def test_list_bounds_hold():
+    rng = np.random.default_rng(12)
+    words, x, q = rng.normal(size=(12, 5)), rng.normal(size=(3000, 5)), rng.normal(size=(20, 5))
+    own, bounds = additive.lists_by_distance(x, words)[:, 0], additive.list_bounds(q, words)
+    for i in range(20):
+        distance = np.sqrt(((x - q[i]) ** 2).sum(-1))
+        assert (distance >= bounds[i][own]).all()
+    assert (bounds > 0).any()
