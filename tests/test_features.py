@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crestline import config
 from crestline.operators import evaluation, models, network, sentiment, temporal
@@ -264,3 +265,36 @@ def test_window_language_mix(spark):
     got = {r.topic: r for r in sentiment.window_language_mix(posts, kept, ("es", "en")).collect()}
     assert got["a"].lang_total == 3 and got["a"].lang_es == pytest.approx(1 / 3) and got["a"].lang_n_distinct == 3
     assert (got["b"].lang_total, got["b"].lang_es) == (0, 0)
+
+
+def test_models_are_fitted_on_all_rows(spark):
+    """An arm without features scores the share of its training rows, which tells which rows these were."""
+    n = 70_001
+    rows = spark.range(n).select(F.col("id").cast("string").alias("topic"), (F.hash("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 5).cast("double").alias("a"))
+    arm = config.Arm("none")
+    got = models.oof_scores(rows, (arm,)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.min("p").alias("low"), F.max("p").alias("high")).collect()
+    total, pos = sum(r.n for r in got), sum(r.pos for r in got)
+    assert total == n and all(r.low == r.high == (pos - r.pos) / (n - r.n) for r in got)
+    shares = {r.p for r in models.replicated_scores(rows, arm, 5, [42]).select("p").distinct().collect()}
+    assert shares == {r.low for r in got}
+
+
+def test_replicates_deal_folds_as_the_engine_does(spark):
+    from crestline.operators.evaluation import fold_assignment
+
+    rows = unit_rows(spark)
+    for seed in ("42", "43"):
+        want = fold_assignment(rows, "topic", 5, seed).select("topic", "label", "fold").collect()
+        got = models._dealt_folds([r.topic for r in want], np.array([r.label for r in want]), 5, seed)
+        assert got.tolist() == [r.fold for r in want]
+
+
+def test_series_fitted_together_are_fitted_each_on_its_own(monkeypatch):
+    rng = np.random.default_rng(4)
+    series = [rng.poisson(0.7, n).astype(float) for n in (40, 9, 25, 100, 40)] + [np.array([0.0, 0, 0, 1] * 6)]
+    monkeypatch.setattr(temporal, "TOGETHER", 4)
+    for order in ((0, 1, 2), (2, 0, 1), (1, 1, 0)):
+        for y, got in zip(series, temporal.fit_many(series, order), strict=True):
+            want = temporal.Arima(y, order)
+            assert len(got.residuals) == len(y) and got.settled == want.settled
+            assert [*got.ar, *got.ma, got.aic, got.bic, got.forecast] == pytest.approx([*want.ar, *want.ma, want.aic, want.bic, want.forecast], abs=1e-9)
