@@ -47,3 +47,11 @@ def test_common_support_is_half_open(spark):
 def test_gates(spark):
     rows = spark.createDataFrame([(int(i % 4 == 0),) for i in range(60)], "label int")
     assert studies.large_enough(rows) and not studies.large_enough(rows, 61, 1) and not studies.large_enough(rows, 10, 16)
+
+
+def test_settings_that_share_rules_share_a_matrix(spark, counted, monkeypatch):
+    asked, build = [], studies.matrix
+    monkeypatch.setattr(studies, "matrix", lambda s, d, rules=b.RULES, language=b.LANG: (asked.append(rules), build(s, d, rules, language))[1])
+    studies.lead_time(spark, DATA, (4, 7))
+    studies.robustness(spark, DATA)
+    assert [r.lead for r in asked[:2]] == [4, 7] and len(asked) == len(set(asked[:2])) + len(set(asked[2:]))
