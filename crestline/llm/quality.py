@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import bpe, storage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -95,10 +95,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # of a query that this worker ran before
+        storage.give_back()
         for batch in batches:
             rows = [statistics(t.as_py() or "") for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(RULES + MORE)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *RULES, *MORE])
+        storage.give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, STATS)
 
@@ -258,11 +261,14 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [*RULES, *MORE]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
+        storage.give_back()
         for batch in batches:
             if not len(batch):
                 continue
             rows = [statistics(t.as_py() or "") for t in batch.column(at)]
             columns = {n: np.array(c, np.int64) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
             yield batch.filter(pa.array(verdict.kept(columns)))
+        storage.give_back()
 
     return docs.mapInArrow(keep, docs.schema)

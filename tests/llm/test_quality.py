@@ -125,3 +125,19 @@ def test_separation():
     rows = np.array([[0.0, 5.0], [1.0, 5.0], [2.0, 5.0], [3.0, 5.0]])
     assert quality.separation(rows, np.array([True, True, False, False])).tolist() == [1.0, 0.0]
     assert quality.separation(rows, np.ones(4, bool)).tolist() == [0.0, 0.0]
+
+
+def test_workers_let_go_of_encoders_of_queries_before(spark, monkeypatch):
+    """A Python worker is used again: what a tokenizing query left in it goes when the quality stage begins."""
+    import pyarrow as pa
+
+    from crestline.llm import bpe
+
+    class Task:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, function, schema: function
+
+    monkeypatch.setattr(bpe, "_encoders", {("json", "x"): bytearray(1 << 20)})
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], names=["doc_id", "text"])
+    (got,) = quality.document_statistics(Task())(iter([batch]))
+    assert got.column(1).to_pylist() == [2] and not bpe._encoders
