@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import evaluation, models, network
+from crestline.operators import evaluation, models, network, temporal
 from crestline.plans import bindings as b
 from crestline.plans import studies
 from crestline.sources import sinks
@@ -64,3 +64,10 @@ def test_graphs_of_small_topics_are_spread_over_tasks(spark):
     posts = spark.createDataFrame([(f"t{i}", "a", ["b"]) for i in range(40)], "topic string, author string, targets array<string>")
     got = network.whole_graph_features(posts, ("components",))
     assert got.rdd.getNumPartitions() == sinks.spread(spark) > 1
+
+
+def test_tasks_of_arima_fits_grow_with_the_series(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "TASK_SERIES", 2)
+    rows = spark.createDataFrame([(f"t{i}", [0, 1, 0, 2, 1, 0, 3, 1, 0, i % 3]) for i in range(40)], "topic string, history array<long>")
+    got = temporal.arima_features(rows)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 40
