@@ -298,3 +298,21 @@ def test_series_fitted_together_are_fitted_each_on_its_own(monkeypatch):
             want = temporal.Arima(y, order)
             assert len(got.residuals) == len(y) and got.settled == want.settled
             assert [*got.ar, *got.ma, got.aic, got.bic, got.forecast] == pytest.approx([*want.ar, *want.ma, want.aic, want.bic, want.forecast], abs=1e-9)
+
+
+def test_small_graphs_have_the_numbers_of_the_other_operators(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in range(60):
+        v = int(rng.integers(1, 12))
+        for _ in range(int(rng.integers(1, 30))):
+            rows.append((f"t{t}", None if rng.random() < 0.1 else f"u{rng.integers(v)}", [f"u{x}" for x in rng.integers(0, v, rng.integers(0, 3))]))
+    posts = spark.createDataFrame([*rows, ("none", None, ["u1"])], "topic string, author string, targets array<string>").cache()
+    got = network.small_graph_features(posts.groupBy("topic").agg(F.collect_list(F.struct("author", "targets")).alias("posts"))).toPandas().set_index("topic").sort_index()
+    assert got.loc["none", "tweet_count"] == 1 and not got.loc["none"].drop("tweet_count").any() and len(got) == 61
+    for part in (network.degrees(posts), network.reciprocity(posts), network.clustering(posts), network.whole_graph_features(posts, ("components", "page_rank"))):
+        want = part.toPandas().set_index("topic").sort_index()
+        for c in set(want) & set(got):
+            np.testing.assert_allclose(got.loc[want.index, c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12, err_msg=c)
+    want = posts.groupBy("topic").agg(F.countDistinct("author").alias("n")).toPandas().set_index("topic").sort_index()
+    assert (got.unique_users == want.n).all()

@@ -71,3 +71,10 @@ def test_early_features(spark):
     (r,) = prototype.early_features(posts, 36, 30).collect()
     assert (r.topic, r.total_count, r.tweet_count, r.unique_users, r.n_nodes, r.n_edges, r.n_components, r.reciprocity) == ("a", 40, 36, 4, 4, 4, 1, 0)
     assert r.edges_per_tweet == pytest.approx(4 / 36) and len(prototype.FEATURES) == 17
+
+
+def test_early_features_join_once(spark):
+    # each join and each window of a topic adds its sort to the memory of the one task that has the topic
+    posts = spark.createDataFrame([(1, "t", 0, 1, "a", ["b"])], "event_id long, topic string, label int, ts long, author string, targets array<string>")
+    plan = prototype.early_features(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Window [") == 1
