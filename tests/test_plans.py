@@ -71,3 +71,35 @@ def test_tasks_of_arima_fits_grow_with_the_series(spark, monkeypatch):
     rows = spark.createDataFrame([(f"t{i}", [0, 1, 0, 2, 1, 0, 3, 1, 0, i % 3]) for i in range(40)], "topic string, history array<long>")
     got = temporal.arima_features(rows)
     assert got.rdd.getNumPartitions() == 20 and got.count() == 40
+
+
+def test_replicates_fit_equal_rows_once(spark):
+    from crestline import config
+
+    rng = np.random.default_rng(6)
+    drawn = [(f"t{i:03d}", int(rng.random() < 0.4), *(float(v) for v in rng.integers(0, 2, 3))) for i in range(300)]
+    arm, columns = config.Arm("volume_only", ("volume_baseline",)), config.FEATURE_SETS["volume_baseline"]
+    rows = spark.createDataFrame(drawn, f"topic string, label int, {', '.join(f'{c} double' for c in columns)}")
+    topics, labels, x = [r[0] for r in drawn], np.array([r[1] for r in drawn]), np.array([r[2:] for r in drawn])
+    for shuffled in (False, True):
+        got = models.replicated_scores(rows, arm, 3, [42, 43], shuffled, rounds=5).toPandas()
+        for rep in (0, 1):
+            y = labels.copy()
+            if shuffled:
+                y[models._places(topics, "")] = labels[models._places(topics, str(42 + rep) if rep else "")]
+            fold, p = models._dealt_folds(topics, y, 3, str(42 if shuffled else 42 + rep)), np.zeros(300)
+            for test in range(3):
+                p[fold == test] = models.Fitted(arm, x[fold != test], y[fold != test], rounds=5).predict(x[fold == test])
+            own = got[got.rep == rep]
+            assert sorted(zip(own.label.repeat(own.n), own.p.repeat(own.n), strict=True)) == sorted(zip(y, p, strict=True))
+            assert len(own) <= 2 * 3 * len(np.unique(x, axis=0)) < 300
+
+
+def test_quantiles_and_curves_count_rows(spark):
+    rng = np.random.default_rng(7)
+    x, n, q = rng.normal(size=50), rng.integers(1, 90, 50), np.linspace(0, 1, 256)
+    assert models.quantiles(x, q, n).tolist() == np.quantile(np.repeat(x, n), q).tolist()
+    once = spark.createDataFrame([("a", 1, 0.9, 3), ("a", 0, 0.9, 1), ("a", 1, 0.2, 2), ("a", 0, 0.1, 4)], "arm string, label int, p double, n long")
+    long = once.select("arm", "label", "p", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).drop("i")
+    for score in (evaluation.average_precision, evaluation.roc_auc, evaluation.threshold_metrics):
+        assert score(once).collect() == score(long).collect()
