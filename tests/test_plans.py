@@ -103,3 +103,14 @@ def test_quantiles_and_curves_count_rows(spark):
     long = once.select("arm", "label", "p", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).drop("i")
     for score in (evaluation.average_precision, evaluation.roc_auc, evaluation.threshold_metrics):
         assert score(once).collect() == score(long).collect()
+
+
+def test_forests_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(models, "FOREST_ROWS", 50)
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(f"t{i:03d}", i % 2, float(rng.normal() + i % 2), float(rng.normal())) for i in range(300)], "topic string, label int, a double, b double")
+    assert models.in_order(rows, 300).rdd.getNumPartitions() == 6
+    scores = [{r.topic: r.p for r in models.random_forest_scores(rows.repartition(n, F.rand(n)), ["a", "b"], 2, 5).collect()} for n in (1, 7)]
+    assert scores[0] == scores[1] and len(scores[0]) == 300
+    shares = [models.impurity_importance(rows.repartition(n, F.rand(n)), ["a", "b"], 5).collect() for n in (1, 7)]
+    assert shares[0] == shares[1]
