@@ -114,3 +114,27 @@ def test_forests_do_not_depend_on_partitions(spark, monkeypatch):
     assert scores[0] == scores[1] and len(scores[0]) == 300
     shares = [models.impurity_importance(rows.repartition(n, F.rand(n)), ["a", "b"], 5).collect() for n in (1, 7)]
     assert shares[0] == shares[1]
+
+
+def test_importance_scores_rows_that_got_another_bin(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(f"t{i:03d}", i % 2, float(rng.normal() + i % 2), float(rng.random() < 0.05)) for i in range(300)], "topic string, label int, a double, b double")
+    got = {r.feature: r for r in models.permutation_importance(rows, ["a", "b"], 4, 7, rounds=8).collect()}
+    dealt = evaluation.fold_assignment(rows, "topic", 10).toPandas().sort_values("topic")
+    x, y, held = dealt[["a", "b"]].to_numpy(), dealt.label.to_numpy(), dealt.fold.to_numpy() < 3
+    known = models.BoostedTrees(rounds=8).fit(x[~held], y[~held])
+    for at, name in enumerate("ab"):
+        draw, bins, lost = np.random.default_rng(7), known._bins(x[held]), []
+        for _ in range(4):
+            shuffled = bins.copy()
+            shuffled[at] = draw.permutation(shuffled[at])
+            lost.append(evaluation.ap_of(y[held], known._predict(bins)) - evaluation.ap_of(y[held], known._predict(shuffled)))
+        assert (got[name].importance, got[name].spread) == (np.mean(lost), np.std(lost))
+
+
+def test_whole_graphs_go_to_python_without_pandas(spark):
+    posts = spark.createDataFrame([("t", "a", ["b"]), ("t", "b", ["c"]), ("s", "a", [])], "topic string, author string, targets array<string>")
+    whole = network.whole_graph_features(posts)
+    assert "FlatMapGroupsInArrow" in whole._jdf.queryExecution().executedPlan().toString()
+    want = {"t": network.graph_numbers(["a", "b", "b", "c"], [("a", "b"), ("b", "c")]), "s": network.graph_numbers(["a"], [])}
+    assert {r.topic: {c: v for c, v in r.asDict().items() if c != "topic"} for r in whole.collect()} == want
