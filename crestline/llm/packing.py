@@ -22,7 +22,7 @@ import heapq
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from operator import neg
+from operator import add, neg
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +56,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
             loads.insert(at, load)
             items.insert(at, own)
         elif over > 0:  # the fullest windows of the one take the emptiest of the other
-            for at in range(len(loads_b) - 1, -1, -1):
-                if (to := k - 1 - at) < len(loads):
-                    loads[to] += loads_b[at]
-                    items[to] += items_b[at]
-                else:
-                    loads.append(loads_b[at])
-                    items.append(items_b[at])
+            at = len(loads) - over
+            loads[at:] = map(add, loads[at:], reversed(loads_b))
+            for own, more in zip(items[at:], reversed(items_b), strict=False):
+                own += more
+            loads += loads_b[-over - 1 :: -1] if over < len(loads_b) else []
+            items += items_b[-over - 1 :: -1] if over < len(items_b) else []
         else:  # each filled window of the one meets an empty one of the other
             loads += loads_b
             items += items_b

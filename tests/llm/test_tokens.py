@@ -136,6 +136,38 @@ def test_memory_is_bounded_and_changes_nothing():
     assert all(m.size < m.limit + 600 and all(len(x) <= bpe.MAX_KEPT_CHARS for x in (*m.young, *m.old)) for m in (small.inner, small.head, small.tail))
 
 
+def test_lookups_follow_distinct_words_not_what_surrounds_them():
+    class Counted(bpe.Memory):
+        asked = 0
+
+        def get(self, stretch):
+            self.asked += 1
+            return super().get(stretch)
+
+        def get_all(self, stretches):
+            self.asked += len(stretches)
+            return super().get_all(stretches)
+
+    encoder = bpe.CachedEncoder(bpe.json_encoder(JSON).tokenizer)
+    encoder.inner, encoder.head, encoder.tail = Counted(), Counted(), Counted()
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdeéßñ", k=5)) for _ in range(200)]
+    ends = ["", ".", ",", "!", "?)", "...", "'"]
+    texts = ["".join(r.choice(words) + r.choice(ends) + r.choice("  \n") for _ in range(999)) + "x" for _ in range(9)]
+    assert [x.tolist() for x in encoder.encode_list(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.inner.asked + encoder.head.asked <= 2 * len(words) + 2 and encoder.tail.asked <= 3 * len(ends)
+
+
+def test_odd_characters_beside_words_lines_and_ends():
+    odd = ["a", "Zed", "é", "\u00d7", "\u00f7", "\u00b5", "\u024f", "\u0250", "\u00a0", "\u3000", "\u0301", "中", "\0", "\x1c", "\t", "\r", " ", " ", "\n", ".", "'", "'s", "'ll", "$$", "12", "<|endoftext|>"]
+    r = random.Random(8)
+    for encoder in (bpe.json_encoder(JSON), bpe.ranks_encoder(RANKS, P.PATTERN)):
+        for _ in range(150):
+            some = [*r.sample(odd, r.randint(2, len(odd))), "word", " ", " "]
+            texts = ["".join(r.choices(some, k=r.choice([0, 1, 2, 3, 8, 40]))) for _ in range(9)]
+            assert [x.tolist() for x in encoder.encode_list(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_byte_bpe(spark, docs):
     import tiktoken
 
